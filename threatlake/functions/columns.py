@@ -68,62 +68,60 @@ def last_segment(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Every non-overlapping match as array<struct<value, start>>, 0-based code points.
+def marked_pieces(text: Column, pattern: str) -> Column:
+    """The text cut at every match: gap, match, gap, ..., gap.
 
-    One pass marks the matches; splitting at the marks gives gap, match, gap, ... and the start
-    of a match is the length of all pieces before it.  Lengths are summed per block of pieces so
-    that a text with very many matches stays near linear.
+    One regex pass marks the matches and a plain split cuts at the marks.
     """
     marked = F.regexp_replace(
         F.translate(text, MARK, SPARE), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")
     )
+    return F.split(marked, MARK, -1)
 
-    def block_starts(lengths: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
-        sums = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-        return let(sums, lambda s: F.transform(s, lambda _, b: _sum(F.slice(s, F.lit(1), b))))
-
-    def with_starts(p: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                p["starts"],
-                lambda at, b: let(
-                    F.struct(
-                        F.slice(p["pieces"], b * _BLOCK + 1, _BLOCK).alias("pieces"),
-                        F.slice(p["lengths"], b * _BLOCK + 1, _BLOCK).alias("lengths"),
-                    ),
-                    lambda q: drop_nulls(
-                        F.transform(
-                            q["pieces"],
-                            lambda piece, i: F.when(
-                                i % 2 == 1,
-                                F.struct(
-                                    piece.alias("value"),
-                                    (at + _sum(F.slice(q["lengths"], F.lit(1), i))).alias("start"),
-                                ),
-                            ),
-                        )
+
+def match_spans(pieces: Column) -> Column:
+    """Matches of :func:`marked_pieces` as array<struct<value, start>>, 0-based code points.
+
+    A match starts after all pieces before it.  Lengths are summed per block of pieces, so that a
+    text with very many matches stays near linear.
+    """
+
+    def block(b: Column, at: Column, all_pieces: Column) -> Column:
+        return let(
+            F.slice(all_pieces, b * _BLOCK + 1, _BLOCK),
+            lambda own: drop_nulls(
+                F.transform(
+                    own,
+                    lambda piece, i: F.when(
+                        i % 2 == 1,
+                        F.struct(
+                            piece.alias("value"),
+                            (at + _length(F.slice(own, F.lit(1), i))).alias("start"),
+                        ),
                     ),
-                ),
-            )
+                )
+            ),
         )
 
-    return let(
-        F.split(marked, MARK, -1),
-        lambda pieces: let(
-            F.transform(pieces, F.length),
-            lambda lengths: let(
-                F.struct(
-                    pieces.alias("pieces"),
-                    lengths.alias("lengths"),
-                    block_starts(lengths).alias("starts"),
-                ),
-                with_starts,
+    def spans(p: Column) -> Column:
+        sums = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
+            lambda b: _length(F.slice(p, b * _BLOCK + 1, _BLOCK)),
+        )
+        return let(
+            sums,
+            lambda s: F.flatten(
+                F.transform(
+                    s,
+                    lambda _, b: block(
+                        b, F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda t, n: t + n), p
+                    ),
+                )
             ),
-        ),
-    )
+        )
+
+    return let(pieces, spans)
 
 
-def _sum(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda total, n: total + n)
+def _length(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(0), lambda total, piece: total + F.length(piece))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.functions import fixed
-from threatlake.functions.columns import empty_array, let, located, lookup
+from threatlake.functions.columns import (
+    empty_array,
+    let,
+    lookup,
+    marked_pieces,
+    match_spans,
+)
 
 MENTION = (
     "struct<entity_type:string,type_rank:int,value:string,start:int,end:int,"
@@ -17,10 +23,6 @@ def _bounded(pattern: str) -> str:
     return f"{fixed.EDGE_BEFORE}{pattern}{fixed.EDGE_AFTER}"
 
 
-_HEX_RUN = _bounded(
-    "(?:" + "|".join(f"[a-fA-F0-9]{{{n}}}" for n in sorted(fixed.HEX_LENGTHS.values())) + ")"
-)
-
 # pattern, and a cheap necessary condition that spares most texts the full pattern
 _PATTERNS = {
     "ipv4": (_bounded(fixed.IPV4), lambda t: t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
@@ -35,8 +37,11 @@ _PATTERNS = {
         f"{fixed.EDGE}{fixed.EMAIL}{fixed.EDGE}",
         lambda t: t.contains("@"),
     ),
+    **{
+        name: (_bounded(f"[a-fA-F0-9]{{{size}}}"), lambda t: t.rlike("[a-fA-F0-9]{32}"))
+        for name, size in fixed.HEX_LENGTHS.items()
+    },
 }
-_HEX_GUARD = r"[a-fA-F0-9]{32}"
 
 
 def is_public_ipv4(value: Column) -> Column:
@@ -73,25 +78,39 @@ def context_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, left + 1, end + fixed.CONTEXT_CHARS - left)
 
 
-def raw_matches(text: Column, entity_type: str) -> Column:
-    """array<struct<value, start>> of one type, before any validation."""
-    none = empty_array("struct<value:string,start:int>")
-    if entity_type in fixed.HEX_LENGTHS:
-        size = fixed.HEX_LENGTHS[entity_type]
-        found = F.filter(located(text, _HEX_RUN), lambda m: F.length(m["value"]) == size)
-        return F.when(text.rlike(_HEX_GUARD), found).otherwise(none)
-    pattern, guard = _PATTERNS[entity_type]
-    return F.when(guard(text), located(text, pattern)).otherwise(none)
+_CUT = "struct<entity_type:string,type_rank:int,pieces:array<string>>"
+
+
+def _cuts(text: Column, types: list[str]) -> Column:
+    """The text cut at the matches of each type, in type order; only types that may match."""
 
+    def cut(entity_type: str) -> Column:
+        return F.struct(
+            F.lit(entity_type).alias("entity_type"),
+            F.lit(fixed.ENTITY_TYPES.index(entity_type)).alias("type_rank"),
+            marked_pieces(text, _PATTERNS[entity_type][0]).alias("pieces"),
+        )
 
-def _mention(text: Column, entity_type: str | Column, rank: int | Column):
-    def build(m: Column) -> Column:
+    parts = []
+    for entity_type in types:
+        if entity_type not in fixed.HEX_LENGTHS:
+            guard = _PATTERNS[entity_type][1](text)
+            parts.append(F.when(guard, F.array(cut(entity_type))).otherwise(empty_array(_CUT)))
+    hexes = [t for t in types if t in fixed.HEX_LENGTHS]
+    if hexes:
+        # One look for a long hexadecimal run settles all three hash types.
+        guard = _PATTERNS[hexes[0]][1](text)
+        found = F.when(guard, F.array(*[cut(t) for t in hexes])).otherwise(empty_array(_CUT))
+        parts.insert(len([t for t in types if t in ("ipv4", "ipv6", "domain", "url")]), found)
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def _mentions(text: Column, types: list[str], validated: bool) -> Column:
+    def mention(cut: Column, m: Column) -> Column:
         end = m["start"] + F.length(m["value"])
         return F.struct(
-            (F.lit(entity_type) if isinstance(entity_type, str) else entity_type).alias(
-                "entity_type"
-            ),
-            (F.lit(rank) if isinstance(rank, int) else rank).alias("type_rank"),
+            cut["entity_type"].alias("entity_type"),
+            cut["type_rank"].alias("type_rank"),
             m["value"].alias("value"),
             m["start"].alias("start"),
             end.alias("end"),
@@ -99,17 +118,21 @@ def _mention(text: Column, entity_type: str | Column, rank: int | Column):
             F.lit(1.0).alias("confidence"),
         )
 
-    return build
+    def of_type(cut: Column) -> Column:
+        found = match_spans(cut["pieces"])
+        if validated:
+            found = F.filter(found, lambda m: _is_valid(cut["entity_type"], m["value"]))
+        return F.transform(found, lambda m: mention(cut, m))
 
+    return F.flatten(F.transform(_cuts(text, types), of_type)).cast(f"array<{MENTION}>")
 
-def _valid(entity_type: str, matches: Column) -> Column:
-    if entity_type == "ipv4":
-        banned = fixed.FALSE_POSITIVES["ipv4"]
-        return F.filter(matches, lambda m: ~m["value"].isin(banned) & is_public_ipv4(m["value"]))
-    if entity_type in fixed.FALSE_POSITIVES:
-        banned = fixed.FALSE_POSITIVES[entity_type]
-        return F.filter(matches, lambda m: ~m["value"].isin(banned))
-    return matches
+
+def _is_valid(entity_type: Column, value: Column) -> Column:
+    return (
+        F.when(is_false_positive(entity_type, value), False)
+        .when(entity_type == "ipv4", is_public_ipv4(value))
+        .otherwise(True)
+    )
 
 
 def entities_in(text: Column, types: list[str] | None = None) -> Column:
@@ -121,35 +144,8 @@ def entities_in(text: Column, types: list[str] | None = None) -> Column:
     unknown = [t for t in wanted if t not in fixed.ENTITY_TYPES]
     if unknown:
         raise ValueError(f"Unknown entity type: {', '.join(unknown)}")
-
-    hex_wanted = [t for t in fixed.ENTITY_TYPES if t in wanted and t in fixed.HEX_LENGTHS]
-    hex_done = False
-    parts = []
-    for rank, entity_type in enumerate(fixed.ENTITY_TYPES):
-        if entity_type not in wanted:
-            continue
-        if entity_type not in fixed.HEX_LENGTHS:
-            found = _valid(entity_type, raw_matches(text, entity_type))
-            parts.append(F.transform(found, _mention(text, entity_type, rank)))
-        elif not hex_done:
-            # One pass finds the runs of all three lengths.
-            hex_done = True
-            runs = F.when(text.rlike(_HEX_GUARD), located(text, _HEX_RUN)).otherwise(
-                empty_array("struct<value:string,start:int>")
-            )
-            parts.append(let(runs, lambda found: _by_length(text, found, hex_wanted)))
-    mentions = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return F.coalesce(mentions, empty_array(MENTION)).cast(f"array<{MENTION}>")
-
-
-def _by_length(text: Column, found: Column, types: list[str]) -> Column:
-    def of_type(entity_type: str) -> Column:
-        size = fixed.HEX_LENGTHS[entity_type]
-        runs = F.filter(found, lambda m: F.length(m["value"]) == size)
-        return F.transform(runs, _mention(text, entity_type, fixed.ENTITY_TYPES.index(entity_type)))
-
-    parts = [of_type(t) for t in types]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    ordered = [t for t in fixed.ENTITY_TYPES if t in wanted]
+    return F.coalesce(_mentions(text, ordered, True), empty_array(MENTION))
 
 
 def extract_entities(
@@ -186,12 +182,8 @@ def mentions(
 
 def candidates(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Mentions before the false-positive and address checks."""
-    text = F.col(text_col)
-    arrays = [
-        F.transform(raw_matches(text, t), _mention(text, t, r))
-        for r, t in enumerate(fixed.ENTITY_TYPES)
-    ]
-    return explode_array(docs.select(*id_cols, F.concat(*arrays).alias("entities")), "entities")
+    found = _mentions(F.col(text_col), fixed.ENTITY_TYPES, False)
+    return explode_array(docs.select(*id_cols, found.alias("entities")), "entities")
 
 
 def unique_values(found: DataFrame) -> DataFrame:
@@ -223,16 +215,3 @@ def _any(conditions: list[Column]) -> Column:
         result = result | condition
     return result
 
-
-__all__ = [
-    "as_indicators",
-    "candidates",
-    "entities_in",
-    "explode_array",
-    "extract_entities",
-    "is_false_positive",
-    "is_public_ipv4",
-    "mentions",
-    "raw_matches",
-    "unique_values",
-]

@@ -175,7 +175,7 @@ def confusion(df: DataFrame, label: str = LABEL, prediction: str = "prediction")
 def confusion_matrix(
     df: DataFrame, label: str = LABEL, prediction: str = "prediction", classes=(0, 1)
 ) -> DataFrame:
-    cells = df.groupBy(label).pivot(prediction, list(classes)).agg(F.count("*"))
+    cells = df.groupBy(label).pivot(prediction, list(classes)).agg(F.count(F.lit(1)))
     return cells.select(
         label, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"predicted_{c}") for c in classes]
     )

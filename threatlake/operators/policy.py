@@ -93,7 +93,7 @@ def as_of(
     over as many tasks as it has buckets.
     """
     version = F.struct(*version_cols)
-    bucket = F.floor(F.unix_seconds(F.col(time_col)) / bucket_seconds)
+    bucket = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / bucket_seconds)
     # Versions come before events of the same instant.
     versions = history.select(
         F.col(key).alias("_key"),
@@ -277,25 +277,20 @@ def evaluate(
 # --- violations at any depth ---------------------------------------------------------------------------
 
 
-def _walk(node, found: list) -> None:
-    if isinstance(node, dict):
-        listed = node.get("violation")
-        if isinstance(listed, list):
-            found.extend(listed)
-        for key, value in node.items():
-            if key != "violation":
-                _walk(value, found)
-    elif isinstance(node, list):
-        for item in node:
-            _walk(item, found)
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _violation_texts(results: pd.Series) -> pd.Series:
-    def texts(result):
-        found: list = []
-        _walk(json.loads(result), found)
-        return [json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in found]
+    # All helpers are local, so that executors need not have this package installed.
+    def items(node) -> list:
+        if isinstance(node, list):
+            return [v for item in node for v in items(item)]
+        if not isinstance(node, dict):
+            return []
+        listed = node.get("violation")
+        own = listed if isinstance(listed, list) else []
+        return own + [v for key, value in node.items() if key != "violation" for v in items(value)]
+
+    def texts(result: str) -> list[str]:
+        return [json.dumps(v, ensure_ascii=False) for v in items(json.loads(result))]
 
     return results.map(texts, na_action="ignore")
 

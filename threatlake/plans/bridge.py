@@ -131,12 +131,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the input has fewer splits than that.
+
+    Text work is bound by the processor, and a small table is a single split.  A large table has
+    more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A bridge view over the parquet tables."""
     names = sorted(set(_TABLE.findall(sql)))
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def text_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    names = sorted(set(_TABLE.findall(sql)))
+    return spark.sql(sql, **{n: spread(table(spark, sf_dir, n)) for n in names})
+
+
 def ansi(sql: str) -> str:
     """The same view for the checking engine, where the tables are registered by name."""
     return _TABLE.sub(r"\1", sql)
