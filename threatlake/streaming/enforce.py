@@ -12,20 +12,25 @@ from threatlake.sources.schemas import AUDIT_EVENT, RESOURCE_CONFIG
 EVENT_SCHEMA = "event_id bigint, ts timestamp, data string"
 
 
+def named_events(events: DataFrame) -> DataFrame:
+    """Events whose resource a configuration can be looked up for."""
+    named = messages.decode(events).select(
+        "event_id",
+        "ts",
+        policy.resource_name(F.from_json("body", AUDIT_EVENT)).alias("resource_name"),
+    )
+    return named.where(policy.has_project(F.col("resource_name")))
+
+
 def check_events(events: DataFrame, history: DataFrame) -> DataFrame:
     """Events (event_id, ts, data) against the configuration history.
 
     ``history`` has resource_name, ts, version and config (JSON text).  Events without a resource
     name, a project in the name or a configuration go no further.
     """
-    decoded = messages.decode(events)
-    named = decoded.select(
-        "event_id",
-        "ts",
-        policy.resource_name(F.from_json("body", AUDIT_EVENT)).alias("resource_name"),
+    matched = policy.as_of(
+        named_events(events), history, "resource_name", "ts", ["version", "config"], "version"
     )
-    known = named.where(policy.has_project(F.col("resource_name")))
-    matched = policy.as_of(known, history, "resource_name", "ts", ["version", "config"], "version")
     rows = matched.where(F.col("version").isNotNull()).select(
         "*",
         policy.resource_type(F.col("resource_name")).alias("resource_type"),
@@ -48,7 +53,9 @@ def enforce(
     events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        checked = check_events(batch, history)
+        # The history is large and a batch small: only the batch's resources are looked up.
+        named = named_events(batch).select("resource_name").distinct()
+        checked = check_events(batch, history.join(named, "resource_name", "left_semi"))
         stamp = F.unix_timestamp(F.current_timestamp()) if timestamp is None else timestamp
         (
             policy.notifications(checked, stamp)
