@@ -74,7 +74,7 @@ def marked_pieces(text: Column, pattern: str) -> Column:
     One regex pass marks the matches and a plain split cuts at the marks.
     """
     marked = F.regexp_replace(
-        F.translate(text, MARK, SPARE), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")
+        F.replace(text, F.lit(MARK), F.lit(SPARE)), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")
     )
     return F.split(marked, MARK, -1)
 
@@ -103,7 +103,7 @@ def match_spans(pieces: Column) -> Column:
             ),
         )
 
-    def spans(p: Column) -> Column:
+    def long_spans(p: Column) -> Column:
         sums = F.transform(
             F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
             lambda b: _length(F.slice(p, b * _BLOCK + 1, _BLOCK)),
@@ -120,6 +120,10 @@ def match_spans(pieces: Column) -> Column:
             ),
         )
 
+    def spans(p: Column) -> Column:
+        short = block(F.lit(0), F.lit(0), p)
+        return F.when(F.size(p) <= _BLOCK, short).otherwise(long_spans(p))
+
     return let(pieces, spans)
 
 

@@ -42,7 +42,11 @@ INDICATOR_COLUMNS = [
 # --- entity patterns, in extraction order ------------------------------------------------------
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 IPV6 = r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
-DOMAIN = r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
+# The look-ahead says the same as the first label and spares plain words the backtracking.
+DOMAIN = (
+    r"(?=[a-zA-Z0-9][a-zA-Z0-9-]{0,62}+\.)"
+    r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
+)
 # The host is written as runs so that a long host costs no stack; the language is unchanged.
 _HOST = r"[-\p{L}\p{N}_.]"
 _PCT = r"%[\p{Nd}a-fA-F]{2}"

@@ -27,7 +27,7 @@ def _bounded(pattern: str) -> str:
 _PATTERNS = {
     "ipv4": (_bounded(fixed.IPV4), lambda t: t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
     "ipv6": (_bounded(fixed.IPV6), lambda t: t.rlike(r"[0-9a-fA-F]:[0-9a-fA-F]{1,4}:")),
-    "domain": (_bounded(fixed.DOMAIN), lambda t: t.rlike(r"[a-zA-Z0-9]\.[a-zA-Z]{2}")),
+    "domain": (_bounded(fixed.DOMAIN), lambda t: t.rlike(r"\.[a-zA-Z]{2}")),
     "url": (
         f"{fixed.EDGE_BEFORE}{fixed.URL}{fixed.EDGE}",
         lambda t: t.contains("://"),

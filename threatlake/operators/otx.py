@@ -99,7 +99,7 @@ def normalize(
             category(tags, feed_type).alias("threat_category"),
             confidence(F.col("adversary"), tags).alias("confidence_score"),
             severity(tags).alias("severity"),
-            F.array_sort(F.array_distinct(F.coalesce(tags, empty_array("string")))).alias("tags"),
+            F.sort_array(F.array_distinct(F.coalesce(tags, empty_array("string")))).alias("tags"),
             F.concat(F.lit(PULSE_URL), "id").alias("source_reference"),
             F.coalesce(blank_to_null(F.col("description")), "name").alias("description"),
             F.col("created").alias("last_seen"),

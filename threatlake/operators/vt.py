@@ -64,7 +64,7 @@ def tags(country: Column, owner: Column, categories: Column) -> Column:
         F.concat(F.lit("geo:"), blank_to_null(country)),
         F.concat(F.lit("asn_owner:"), blank_to_null(owner)),
     )
-    return F.array_sort(F.array_distinct(F.concat(F.array_compact(labels), categories)))
+    return F.sort_array(F.array_distinct(F.concat(F.array_compact(labels), categories)))
 
 
 def last_seen(unix_seconds: Column) -> Column:

@@ -134,8 +134,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores where the input has fewer splits than that.
 
-    Text work is bound by the processor, and a small table is a single split.  A large table has
-    more splits than cores and is left alone.
+    Parsing text is bound by the processor, and a small table is a single split.  A large table
+    has more splits than cores and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
@@ -147,7 +147,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def text_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def spread_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A bridge view whose rows are costly to work on."""
     names = sorted(set(_TABLE.findall(sql)))
     return spark.sql(sql, **{n: spread(table(spark, sf_dir, n)) for n in names})
 

@@ -27,7 +27,7 @@ def _tags(column: str):
 
 def pulses(spark: SparkSession, sf: str) -> DataFrame:
     """Pulses with their indicators nested; at most five indicators each."""
-    flat = bridge.view(spark, sf, bridge.OTX)
+    flat = bridge.spread_view(spark, sf, bridge.OTX)
     return flat.groupBy(
         F.col("pulse_id").cast("string").alias("id"), "name", "description", "adversary", "tags_bar"
     ).agg(
@@ -47,7 +47,7 @@ def pulses(spark: SparkSession, sf: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports with the nested struct of the feed, one row each."""
-    flat = bridge.view(spark, sf, bridge.VT)
+    flat = bridge.spread_view(spark, sf, bridge.VT)
     stats = F.create_map(
         *[
             x
@@ -86,7 +86,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    flat = bridge.view(spark, sf, bridge.SCC)
+    flat = bridge.spread_view(spark, sf, bridge.SCC)
     return flat.select(
         "o_orderkey",
         F.to_json(
@@ -106,7 +106,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf: str) -> DataFrame:
-    flat = bridge.view(spark, sf, bridge.ASSETS)
+    flat = bridge.spread_view(spark, sf, bridge.ASSETS)
     data = F.struct(
         F.col("time_created").alias("timeCreated"),
         F.col("creation_timestamp").alias("creationTimestamp"),

@@ -13,7 +13,7 @@ KEYS = ["corpus", "doc_id"]
 
 
 def advisories(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.text_view(spark, sf, bridge.ADVISORIES)
+    return bridge.spread_view(spark, sf, bridge.ADVISORIES)
 
 
 def _text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -309,11 +309,6 @@ def sev_cvss(spark: SparkSession, sf: str) -> DataFrame:
     return corpora(spark, sf).select(*KEYS, severity.cvss_score(F.col("text")).alias("cvss"))
 
 
-def _hits(docs: DataFrame, keys: list[str]) -> DataFrame:
-    rows = docs.select(*keys, severity.keyword_hits(F.col("text")).alias("hits"))
-    return entities.explode_array(rows, "hits")
-
-
 _HITS = text_sql.hits(text_sql.DOCS, KEYS, "text")
 
 
@@ -323,7 +318,7 @@ _HITS = text_sql.hits(text_sql.DOCS, KEYS, "text")
     " GROUP BY corpus, doc_id, keyword, level, weight",
 )
 def sev_key(spark: SparkSession, sf: str) -> DataFrame:
-    found = _hits(corpora(spark, sf), KEYS)
+    found = severity.explode_hits(corpora(spark, sf), KEYS)
     return found.groupBy(*KEYS, "keyword", "level", "weight").agg(
         F.count("*").alias("occurrences")
     )
@@ -335,7 +330,7 @@ def sev_key(spark: SparkSession, sf: str) -> DataFrame:
     " GROUP BY corpus, doc_id, keyword, negated",
 )
 def sev_neg(spark: SparkSession, sf: str) -> DataFrame:
-    found = _hits(corpora(spark, sf), KEYS)
+    found = severity.explode_hits(corpora(spark, sf), KEYS)
     return found.groupBy(*KEYS, "keyword", "negated").agg(F.count("*").alias("occurrences"))
 
 
