@@ -10,9 +10,10 @@ WORD = r"[\p{L}\p{N}_]"
 EDGE_BEFORE = rf"(?<!{WORD})"
 EDGE_AFTER = rf"(?!{WORD})"
 EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+# Single Latin-1 characters become one table look-up; the others are kept behind a range check.
 SPACE_CHARS = (
-    r"\s\x1c-\x1f\x85\xa0"
-    r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0[\x{1680}-\x{3000}&&"
+    r"[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
 SPACE = f"[{SPACE_CHARS}]"
 NONSPACE = f"[^{SPACE_CHARS}]"

@@ -108,28 +108,47 @@ class UntrainableData(ValueError):
     """The training data is empty or has a single class."""
 
 
+def combinations(
+    df: DataFrame, label: str = LABEL, columns: list[str] | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """How often every combination of features and class occurs.
+
+    The features are a few categories, so this is one map-side aggregation that leaves a handful
+    of rows, whatever the table's size.
+    """
+    names = columns or fixed.MODEL_FEATURES
+    return impute(df, names).groupBy(*names, label, *by).agg(F.count("*").alias("n"))
+
+
 def train(
-    df: DataFrame,
+    df: DataFrame, label: str = LABEL, columns: list[str] | None = None, **options
+) -> PipelineModel:
+    """Fit encoder and forest with balanced class weights on the rows of a table."""
+    combos = combinations(df, label, columns).persist()
+    try:
+        return fit(combos, label, columns, **options)
+    finally:
+        combos.unpersist()
+
+
+def fit(
+    combos: DataFrame,
     label: str = LABEL,
     columns: list[str] | None = None,
     model_type: str = "RandomForestClassifier",
     trees: int = 100,
 ) -> PipelineModel:
-    """Fit encoder and forest with balanced class weights.
+    """Fit encoder and forest on counted combinations.
 
-    The features are a few categories, so the rows collapse to one per combination and class,
-    weighted by how often it occurs.  That is one map-side aggregation over the table; the trees
-    are then grown on a handful of rows, whatever the table's size.  Drawing as many rows as a
-    large table has, with replacement, gives each combination its own share again, so the trees
-    see the full weights and differ by the features they may use.
+    Drawing as many rows as a large table has, with replacement, gives each combination its own
+    share again; so the trees see the full weights and differ by the features they may use.
     """
     if model_type != "RandomForestClassifier":
         raise ValueError(f"Unsupported model type: {model_type}")
     names = columns or fixed.MODEL_FEATURES
-    combos = impute(df, names).groupBy(*names, label).agg(F.count("*").alias("n"))
-    per_class = combos.groupBy(label).agg(F.sum("n").alias("n_class"))
-    # One row per class: at most a few, of a binary label.
-    sizes = {row[label]: row["n_class"] for row in per_class.collect()}
+    # One row per class of a binary label.
+    per_class = combos.groupBy(label).agg(F.sum("n").alias("n_class")).collect()
+    sizes = {row[label]: row["n_class"] for row in per_class}
     if len(sizes) < 2:
         raise UntrainableData(f"Need two classes to train, found {len(sizes)}")
     total = sum(sizes.values())
@@ -154,22 +173,21 @@ def train(
     return Pipeline(stages=stages).fit(combos.withColumn("weight", F.col("n") * weight))
 
 
-def is_trainable(df: DataFrame, label: str = LABEL) -> Column | bool:
+def is_trainable(df: DataFrame, label: str = LABEL) -> bool:
     """Whether there are rows of at least two classes; one aggregate row reaches the driver."""
     row = df.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
     return row["n"] > 0 and row["k"] >= 2
 
 
-def smallest_class(df: DataFrame, label: str = LABEL) -> int:
-    counts = df.groupBy(label).count()
-    return counts.agg(F.min("count")).first()[0] or 0
-
-
 # --- evaluation ------------------------------------------------------------------------------
 
 
-def confusion(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    return df.groupBy(label, prediction).agg(F.count("*").alias("rows"))
+def confusion(
+    df: DataFrame, label: str = LABEL, prediction: str = "prediction", count: str | None = None
+) -> DataFrame:
+    """Rows per class and prediction; ``count`` names a column with the rows a row stands for."""
+    rows = F.sum(count) if count else F.count("*")
+    return df.groupBy(label, prediction).agg(rows.alias("rows"))
 
 
 def confusion_matrix(
@@ -182,13 +200,13 @@ def confusion_matrix(
 
 
 def evaluation(
-    df: DataFrame, label: str = LABEL, prediction: str = "prediction"
+    df: DataFrame, label: str = LABEL, prediction: str = "prediction", count: str | None = None
 ) -> DataFrame:
     """Accuracy, and precision, recall, f1 and support per class with their averages.
 
     One aggregation over the data; the rest works on the confusion counts.
     """
-    cells = confusion(df, label, prediction)
+    cells = confusion(df, label, prediction, count)
     hit = F.when(F.col(label) == F.col(prediction), F.col("rows")).otherwise(0)
     by_class = cells.select(
         F.explode(
@@ -287,7 +305,27 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def train_job(indicators: DataFrame, key: str, model_path: str) -> DataFrame | None:
+def train_and_evaluate(
+    labelled: DataFrame, key: str, model_path: str | None = None, **options
+) -> DataFrame | None:
+    """Split, train on the one part, evaluate on the other; None where there is one class.
+
+    The table is read for the split; training and evaluation work on the counts per combination
+    and part.
+    """
+    columns = [key, *fixed.MODEL_FEATURES, LABEL]
+    classes = labelled.groupBy(LABEL).count().agg(F.count("*"), F.min("count")).first()
+    if classes[0] < 2:
+        return None
+    parts = split(labelled.select(*columns), key, stratified=classes[1] >= 2)
+    combos = combinations(parts, by=("is_train",)).persist()
+    model = fit(combos.where("is_train"), **options)
+    if model_path:
+        save(model, model_path)
+    return evaluation(predict(combos.where("NOT is_train"), model), count="n")
+
+
+def train_job(indicators: DataFrame, key: str, model_path: str, **options) -> DataFrame | None:
     """Label, split, train, save; returns the evaluation of the held-out rows.
 
     Stops with None where there is nothing to learn from.
@@ -297,10 +335,4 @@ def train_job(indicators: DataFrame, key: str, model_path: str) -> DataFrame | N
     )
     if labelled.isEmpty():
         return None
-    labelled = synthesize_missing_class(labelled, key)
-    if not is_trainable(labelled):
-        return None
-    parts = split(impute(labelled), key, stratified=smallest_class(labelled) >= 2)
-    model = train(parts.where("is_train"))
-    save(model, model_path)
-    return evaluation(predict(parts.where(~F.col("is_train")), model))
+    return train_and_evaluate(synthesize_missing_class(labelled, key), key, model_path, **options)

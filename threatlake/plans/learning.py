@@ -167,12 +167,7 @@ def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_train")
 def ml_train(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out evaluation of a forest trained on the first 80 percent of every class."""
-    parts = learning.split(
-        learning.impute(labelled(spark, sf).select("event_id", *fixed.MODEL_FEATURES, learning.LABEL)),
-        "event_id",
-    )
-    model = learning.train(parts.where("is_train"), trees=20)
-    return learning.evaluation(learning.predict(parts.where("NOT is_train"), model))
+    return learning.train_and_evaluate(labelled(spark, sf), "event_id", trees=20)
 
 
 @query("ml_score")
@@ -204,4 +199,5 @@ def snk_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ml_trainjob")
 def ml_trainjob(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.train_job(labelled(spark, sf), "event_id", scratch_path(spark, "model"))
+    path = scratch_path(spark, "model")
+    return learning.train_job(labelled(spark, sf), "event_id", path, trees=20)

@@ -13,24 +13,22 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp, data string"
 
 
 def named_events(events: DataFrame) -> DataFrame:
-    """Events whose resource a configuration can be looked up for."""
-    named = messages.decode(events).select(
-        "event_id",
-        "ts",
-        policy.resource_name(F.from_json("body", AUDIT_EVENT)).alias("resource_name"),
-    )
+    """Events (event_id, ts, data) whose resource a configuration can be looked up for.
+
+    A message that is not base64 JSON has no resource name either.
+    """
+    event = F.from_json(messages.decoded(F.col("data")), AUDIT_EVENT)
+    named = events.select("event_id", "ts", policy.resource_name(event).alias("resource_name"))
     return named.where(policy.has_project(F.col("resource_name")))
 
 
-def check_events(events: DataFrame, history: DataFrame) -> DataFrame:
-    """Events (event_id, ts, data) against the configuration history.
+def check_events(named: DataFrame, history: DataFrame) -> DataFrame:
+    """Named events against the configuration history, with their violations.
 
-    ``history`` has resource_name, ts, version and config (JSON text).  Events without a resource
-    name, a project in the name or a configuration go no further.
+    ``history`` has resource_name, ts, version and config (JSON text).  Events without a
+    configuration go no further.
     """
-    matched = policy.as_of(
-        named_events(events), history, "resource_name", "ts", ["version", "config"], "version"
-    )
+    matched = policy.as_of(named, history, "resource_name", "ts", ["version", "config"], "version")
     rows = matched.where(F.col("version").isNotNull()).select(
         "*",
         policy.resource_type(F.col("resource_name")).alias("resource_type"),
@@ -53,18 +51,22 @@ def enforce(
     events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
+        named = named_events(batch).persist()
         # The history is large and a batch small: only the batch's resources are looked up.
-        named = named_events(batch).select("resource_name").distinct()
-        checked = check_events(batch, history.join(named, "resource_name", "left_semi"))
+        wanted = named.select("resource_name").distinct()
+        checked = check_events(named, history.join(wanted, "resource_name", "left_semi"))
         stamp = F.unix_timestamp(F.current_timestamp()) if timestamp is None else timestamp
-        (
-            policy.notifications(checked, stamp)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(out_path)
-        )
+        try:
+            (
+                policy.notifications(checked, stamp)
+                .withColumn("batch_id", F.lit(batch_id))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id")
+                .parquet(out_path)
+            )
+        finally:
+            named.unpersist()
 
     return (
         events.writeStream.foreachBatch(publish)
