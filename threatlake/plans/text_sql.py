@@ -134,6 +134,7 @@ def assessment(source: str, keys: list[str], text: str) -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"d.{c} = h.{c}" for c in keys)
     level = "CASE WHEN cvss >= 9 THEN 1.0 WHEN cvss >= 7 THEN 0.75 WHEN cvss >= 4 THEN 0.5 ELSE 0.25 END"
+    whole_source, source = source, "SELECT * FROM texts_to_score"
     summed = (
         f"SELECT {k}, sum(weight) AS weight, sum(points) AS points, count(*) AS n"
         f" FROM ({hits(source, keys, text)}) AS x WHERE NOT negated GROUP BY {k}"
@@ -150,7 +151,8 @@ def assessment(source: str, keys: list[str], text: str) -> str:
         f" FROM ({totals}) AS t"
     )
     return (
-        f"SELECT {k}, {text}, CAST(round(raw_score, 6) AS DOUBLE) AS score,"
+        f"WITH texts_to_score AS MATERIALIZED ({whole_source})"
+        f" SELECT {k}, {text}, CAST(round(raw_score, 6) AS DOUBLE) AS score,"
         " CASE WHEN round(raw_score, 9) >= 0.8 THEN 'critical' WHEN round(raw_score, 9) >= 0.6 THEN 'high'"
         " WHEN round(raw_score, 9) >= 0.4 THEN 'medium' WHEN raw_score > 0 THEN 'low' ELSE 'unknown' END AS level,"
         " CAST(CASE WHEN evidence = 0 THEN 0.0 ELSE round(least(0.5 + 0.1 * evidence, 1.0), 6) END AS DOUBLE) AS confidence,"
