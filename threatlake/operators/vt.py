@@ -78,10 +78,12 @@ def last_seen(unix_seconds: Column) -> Column:
     )
 
 
-def description(malicious: Column, suspicious: Column, harmless: Column, undetected: Column):
-    return F.format_string(
-        "VT analysis: M:%s, S:%s, H:%s, U:%s", malicious, suspicious, harmless, undetected
-    )
+def description(
+    malicious: Column, suspicious: Column, harmless: Column, undetected: Column
+) -> Column:
+    counts = {"M": malicious, "S": suspicious, "H": harmless, "U": undetected}
+    parts = [F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in counts.items()]
+    return F.concat(F.lit("VT analysis: "), F.concat_ws(", ", *parts))
 
 
 def reference_url(address: Column) -> Column:
