@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,13 +29,23 @@ def build_session(app_name: str = "threatlake", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+_local_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only where that is unset (unit
-    tests on one machine) a temporary folder is used.
+    A cluster must name that folder: a machine's own disk is not seen by the other machines, so
+    nothing is written where the setting is missing.  Only a session that is a single process
+    (unit tests) falls back to a folder of its own, which goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "threatlake-scratch")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="threatlake-"))
+            atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
+        base = _local_scratch[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
