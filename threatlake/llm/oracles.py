@@ -34,4 +34,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1}
+_WORDS10 = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+_OP10 = f"""
+WITH d AS (SELECT doc_id, {_WORDS10} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS10} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s+9], ' ') AS win, least(10, len(w)) AS n
+ FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, s, n, array_to_string(w[s:s+n-1], ' ') AS win
+ FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes)),
+m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN iw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+ FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op10_decontamination": _OP10, "op1_quality_rules": _OP1}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.llm import oracles, quality_rules, sharding
+from threatlake.llm import decontamination, oracles, quality_rules, sharding
 from threatlake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_sharding": op4_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
