@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.llm import decontamination, oracles, quality_rules, sharding
+from threatlake.llm import decontamination, oracles, packing, quality_rules, sharding, token_files
 from threatlake.llm.common import read
+from threatlake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +25,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    docs = read(spark, sf_dir, "documents")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10
@@ -43,7 +60,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
+    "op7_token_files": op7_token_files,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
