@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.llm import decontamination, oracles, packing, quality_rules, sharding, token_files
+from threatlake.llm import decontamination, line_dedup, oracles, packing, quality_rules, sharding, token_files
 from threatlake.llm.common import read
 from threatlake.session import scratch_path
 
@@ -37,6 +37,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(read(spark, sf_dir, "documents"), min_docs=10, least=1)
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     docs = read(spark, sf_dir, "documents")
@@ -62,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
     "op10_decontamination": op10_decontamination,
 }
