@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.llm import (
-    chat_format, decontamination, line_dedup, oracles, packing, quality_rules, sharding, token_files,
-    warc,
+    chat_format, decontamination, jaccard_join, line_dedup, oracles, packing, quality_rules, sharding,
+    token_files, warc,
 )
 from threatlake.llm.common import read, written
 from threatlake.session import scratch_path
@@ -40,6 +40,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components(read(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(read(spark, sf_dir, "documents"), min_docs=10, least=1)
     return kept.select(
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
     "op8_warc": op8_warc,
