@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.llm import (
-    chat_format, decontamination, jaccard_join, line_dedup, oracles, packing, quality_rules, sharding,
+    chat_format, decontamination, jaccard_join, language_id, line_dedup, oracles, packing, quality_rules, sharding,
     token_files, warc,
 )
 from threatlake.llm.common import read, written
@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language_id.predict(asked, language_id.fit(docs), ["doc_id", "held_out"])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
@@ -96,6 +102,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
