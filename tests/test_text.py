@@ -238,3 +238,52 @@ def test_text_jobs_do_not_shuffle(spark, sf_dir):
         assert plan.count("FileScan parquet") == 1
     narrow = entities.mentions(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in narrow
+
+
+def test_long_tokens_need_no_stack(spark):
+    """A million labels, or parts of a path, in a session with plain settings."""
+    from threatlake.operators import clean, entities, scc
+
+    texts = [
+        ("a." * 1_000_000 + "com", ["domain"], 1),
+        ("1." * 300_000, ["domain"], 0),
+        ("http://a" + "/b" * 300_000 + ",", ["url"], 1),
+        ("http://" + "%41" * 300_000 + "-", ["url"], 1),
+    ]
+    for text, types, n in texts:
+        row = spark.createDataFrame([(text,)], "text string").select(
+            F.size(entities.entities_in(F.col("text"), types)).alias("n"),
+            F.length(clean.analysis_text(F.col("text"))).alias("cleaned"),
+            F.regexp_extract("text", scc.FINDING_DOMAIN, 0).alias("finding"),
+        ).first()
+        assert row["n"] == n
+        assert row["cleaned"] == len(text)
+
+
+def test_patterns_equal_the_published_ones(spark):
+    """Random texts of awkward parts, against the patterns as first published."""
+    import random
+    import re
+
+    from threatlake.operators import entities
+
+    label = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\."
+    tail = r"[-\w%!$&'()*+,;=:~/.]"
+    published = {
+        "domain": rf"\b(?:{label})+[a-zA-Z]{{2,}}\b",
+        "url": r"\bhttps?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+(?:/[-\w%!$&'()*+,;=:~]+)*"
+        rf"(?:\?{tail}+)?(?:#{tail}+)?\b",
+    }
+    r = random.Random(3)
+    parts = ["a", "bc", "com", ".", ".", "-", "1", "é", "_", " ", "x" * 62, "x" * 63, "x" * 64]
+    path = ["a", "bc", ".", "-", "/", "/", "%41", "%", "?", "#", ",", "é", "~", " ", "1", "!"]
+    texts = ["".join(r.choices(parts, k=r.randint(2, 16))) for _ in range(4000)]
+    texts += ["http://" + "".join(r.choices(path, k=r.randint(1, 14))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select(
+        "text",
+        *[F.regexp_extract_all("text", F.lit(entities._PATTERNS[n][0]), F.lit(0)).alias(n) for n in published],
+    )
+    for row in found.collect():
+        for name, pattern in published.items():
+            assert list(row[name]) == [m[0] for m in re.finditer(pattern, row["text"])], (name, row["text"])

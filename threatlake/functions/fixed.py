@@ -43,19 +43,32 @@ INDICATOR_COLUMNS = [
 # --- entity patterns, in extraction order ------------------------------------------------------
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 IPV6 = r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
-# The look-ahead says the same as the first label and spares plain words the backtracking.
+# Java's matcher calls itself for every turn of a group that may give back, but not of a group that
+# may not (``*+``, ``++``).  So the loops below never give back: a turn looks ahead for a valid end.
+_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+_ENDING = rf"[a-zA-Z]{{2,}}+{EDGE_AFTER}"
+# Whole labels up to the last one that an ending follows.  A label after another one starts nothing
+# new, and the first look-ahead spares plain words the rest.
 DOMAIN = (
     r"(?=[a-zA-Z0-9][a-zA-Z0-9-]{0,62}+\.)"
-    r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}"
+    rf"(?:(?<!\.)|(?<!{EDGE_BEFORE}{_LABEL}\.))"
+    rf"(?:(?:{_LABEL}\.(?!{_ENDING}))*+{_LABEL}\.(?={_ENDING}))++[a-zA-Z]{{2,}}"
 )
-# The host is written as runs so that a long host costs no stack; the language is unchanged.
 _HOST = r"[-\p{L}\p{N}_.]"
 _PCT = r"%[\p{Nd}a-fA-F]{2}"
 _URL_PATH = r"[-\p{L}\p{N}_%!$&'()*+,;=:~]"
 _URL_TAIL = r"[-\p{L}\p{N}_%!$&'()*+,;=:~/.]"
+# A part of the path, and a part of the host, that can be the last one.
+_LAST_PART = f"/{_URL_PATH}+{EDGE}"
+_LAST_HOST = f"{_HOST}*{EDGE}"
+# Everything as long as it goes; else up to the last part of the path, or of the host, that can end
+# a URL.
 URL = (
-    rf"https?://(?:{_HOST}|{_PCT}){_HOST}*(?:{_PCT}{_HOST}*)*"
-    rf"(?:/{_URL_PATH}+)*(?:\?{_URL_TAIL}+)?(?:#{_URL_TAIL}+)?"
+    rf"https?://(?:{_HOST}|{_PCT})(?:"
+    rf"{_HOST}*+(?:{_PCT}{_HOST}*+)*+(?:/{_URL_PATH}++)*+(?:\?{_URL_TAIL}+)?(?:#{_URL_TAIL}+)?{EDGE}"
+    rf"|{_HOST}*+(?:{_PCT}{_HOST}*+)*+"
+    rf"(?:/{_URL_PATH}++(?=(?:(?!{_LAST_PART})/{_URL_PATH}++)*+{_LAST_PART}))*+{_LAST_PART}"
+    rf"|(?:{_HOST}*+{_PCT}(?=(?:(?!{_LAST_HOST}){_HOST}*+{_PCT})*+{_LAST_HOST}))*+{_LAST_HOST})"
 )
 CVE = r"(?i:CVE)-\p{Nd}{4}-\p{Nd}{4,7}"
 # The at sign ends the local part, so nothing is gained by giving characters back.

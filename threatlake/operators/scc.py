@@ -45,9 +45,12 @@ FINDING_URL = (
     "?organizationId=%s&findingId=%s"
 )
 FINDING_IP = f"{EDGE_BEFORE}{IPV4}{EDGE_AFTER}"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_ENDING = rf"[a-z0-9][a-z0-9-]{{0,61}}[a-z0-9]{EDGE_AFTER}"
+# Whole labels up to the last one that an ending follows; see the pattern of domains.
 FINDING_DOMAIN = (
-    rf"{EDGE_BEFORE}(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+"
-    rf"[a-z0-9][a-z0-9-]{{0,61}}[a-z0-9]{EDGE_AFTER}"
+    rf"{EDGE_BEFORE}(?=[a-z0-9][a-z0-9-]{{0,62}}+\.)(?:(?<!\.)|(?<!{EDGE_BEFORE}{_LABEL}\.))"
+    rf"(?:(?:{_LABEL}\.(?!{_ENDING}))*+{_LABEL}\.(?={_ENDING}))++{_ENDING}"
 )
 
 

@@ -18,9 +18,6 @@ def build_session(app_name: str = "threatlake", master: str | None = None, **con
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
-        # Regex groups recurse once per repetition; long dotted tokens need a deeper task stack.
-        .config("spark.executor.extraJavaOptions", "-Xss16m")
-        .config("spark.driver.extraJavaOptions", "-Xss16m")
     )
     if master:
         builder = builder.master(master)
