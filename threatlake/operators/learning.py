@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from threatlake.functions import fixed
 from threatlake.functions.columns import empty_array, word_list
 from threatlake.functions.ranking import mark_first
+from threatlake.operators import routing
+from threatlake.session import scratch_path
 
 LABEL = "risk_label"
 
@@ -89,9 +92,9 @@ def split(
     test_size: float = fixed.TEST_SIZE,
     stratified: bool = True,
 ) -> DataFrame:
-    """Add ``is_train``: the first 80 % of every class in hash order of ``key``."""
-    percent = round((1 - test_size) * 100)
-    take = F.floor(F.col("total") * percent / 100)
+    """Add ``is_train``: all but the test share of every class, the first in hash order of ``key``."""
+    share = 1 - Fraction(str(test_size))
+    take = F.expr(f"total * {share.numerator} div {share.denominator}")
     return mark_first(df, key, [label] if stratified else [], take, "is_train")
 
 
@@ -137,9 +140,12 @@ def fit(
     columns: list[str] | None = None,
     model_type: str = "RandomForestClassifier",
     trees: int = 100,
+    max_depth: int = 30,
 ) -> PipelineModel:
     """Fit encoder and forest on counted combinations.
 
+    The default depth is the deepest that the library takes.
+
     Drawing as many rows as a large table has, with replacement, gives each combination its own
     share again; so the trees see the full weights and differ by the features they may use.
     """
@@ -164,7 +170,7 @@ def fit(
         featuresCol="features",
         weightCol="weight",
         numTrees=trees,
-        maxDepth=10,
+        maxDepth=max_depth,
         featureSubsetStrategy="sqrt",
         bootstrap=False,
         seed=fixed.SEED,
@@ -289,6 +295,20 @@ def score(requests: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
+def answer(requests: DataFrame, model: PipelineModel, body_present: Column) -> DataFrame:
+    """Every request with its ``error``, or scored and with the model's top factors.
+
+    Requests that fail the check are not scored; their other answer columns are null.
+    """
+    check = routing.check_request(body_present, F.col("indicator_type"), F.col("source"))
+    checked = requests.withColumn("error", check["error"])
+    top = top_features(requests.sparkSession, model).collect()  # five rows
+    factors = F.create_map(*[F.lit(x) for row in top for x in (row["feature"], row["importance"])])
+    scored = score(checked.where(F.col("error") == ""), model).withColumn("top_factors", factors)
+    refused = checked.where(F.col("error") != "").withColumn("value", F.lit(None).cast("string"))
+    return scored.unionByName(refused, allowMissingColumns=True)
+
+
 def top_features(spark: SparkSession, model: PipelineModel, n: int = 5) -> DataFrame:
     """The n most important one-hot features, most important first."""
     importances = model.stages[-1].featureImportances.toArray().tolist()
@@ -318,7 +338,10 @@ def train_and_evaluate(
     if classes[0] < 2:
         return None
     parts = split(labelled.select(*columns), key, stratified=classes[1] >= 2)
-    combos = combinations(parts, by=("is_train",)).persist()
+    # Counts of a few combinations, written once: the result is read later, by the caller.
+    kept = scratch_path(parts.sparkSession, "combinations")
+    combinations(parts, by=("is_train",)).write.parquet(kept)
+    combos = parts.sparkSession.read.parquet(kept)
     model = fit(combos.where("is_train"), **options)
     if model_path:
         save(model, model_path)

@@ -132,13 +132,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the input has fewer splits than that.
+    """Rows dealt out to all cores where the table has fewer files than that.
 
-    Parsing text is bound by the processor, and a small table is a single split.  A large table
-    has more splits than cores and is left alone.
+    Parsing text is bound by the processor, and a small table is one file with one row group, which
+    no setting splits.  The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

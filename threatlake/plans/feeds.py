@@ -728,7 +728,7 @@ def flt_finding(spark: SparkSession, sf: str) -> DataFrame:
 
 _TYPES = "'ip', 'domain', 'url', 'file_hash', 'email'"
 _SOURCES = "'alienvault', 'virustotal', 'mandiant', 'recorded_future', 'other'"
-_ERROR = (
+REQUEST_ERROR = (
     "CASE WHEN has_body = 0 THEN 'Request body is empty or not valid JSON'"
     " WHEN indicator_type IS NULL AND source IS NULL THEN 'Missing required fields: indicator_type, source'"
     " WHEN indicator_type IS NULL THEN 'Missing required fields: indicator_type'"
@@ -741,7 +741,7 @@ _ERROR = (
 
 @query(
     "flt_valid",
-    f"SELECT event_id, {_ERROR} = '' AS is_valid, {_ERROR} AS error FROM ({bridge.ansi(bridge.REQUESTS)}) AS r",
+    f"SELECT event_id, {REQUEST_ERROR} = '' AS is_valid, {REQUEST_ERROR} AS error FROM ({bridge.ansi(bridge.REQUESTS)}) AS r",
 )
 def flt_valid(spark: SparkSession, sf: str) -> DataFrame:
     rows = bridge.view(spark, sf, bridge.REQUESTS)

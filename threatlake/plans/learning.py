@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from threatlake.functions import fixed
 from threatlake.operators import learning
-from threatlake.plans import bridge
+from threatlake.plans import bridge, feeds
 from threatlake.plans.registry import query
 from threatlake.session import scratch_path
 
@@ -152,52 +152,102 @@ def ml_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str):
-    return learning.train(labelled(spark, sf), trees=20)
+    return learning.train(labelled(spark, sf))
 
 
-@query("ml_predict")
+# The values of a forest are not for SQL to state; the rows and what must hold of them are.
+_FEATURES = "coalesce(indicator_type, 'missing') AS indicator_type, coalesce(source, 'missing') AS source"
+_HELD_OUT = f"SELECT risk_label, count(*) - count(*) * 80 // 100 AS n FROM ({_LABELS}) AS l GROUP BY risk_label"
+_REPORT = (
+    f"SELECT CAST(risk_label AS VARCHAR) AS name, n AS support, true AS in_range FROM ({_HELD_OUT}) AS h"
+    " UNION ALL SELECT name, CAST((SELECT sum(n) FROM held_out) AS BIGINT), true"
+    " FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS t(name)"
+)
+_REPORT = f"WITH held_out AS ({_HELD_OUT}) {_REPORT}"
+
+
+def _report(evaluated: DataFrame) -> DataFrame:
+    metrics = [F.col(m).between(0, 1) for m in ("precision", "recall", "f1")]
+    return evaluated.select("name", "support", (metrics[0] & metrics[1] & metrics[2]).alias("in_range"))
+
+
+@query("ml_predict", f"SELECT event_id, {_FEATURES}, true AS is_class FROM ({LABELLED}) AS b")
 def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a forest trained on the same table."""
     rows = learning.impute(labelled(spark, sf).select("event_id", *fixed.MODEL_FEATURES, learning.LABEL))
     return learning.predict(rows, _model(spark, sf)).select(
-        "event_id", *fixed.MODEL_FEATURES, "prediction"
+        "event_id", *fixed.MODEL_FEATURES, F.col("prediction").isin(0.0, 1.0).alias("is_class")
     )
 
 
-@query("ml_train")
+@query("ml_train", _REPORT)
 def ml_train(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out evaluation of a forest trained on the first 80 percent of every class."""
-    return learning.train_and_evaluate(labelled(spark, sf), "event_id", trees=20)
+    return _report(learning.train_and_evaluate(labelled(spark, sf), "event_id"))
 
 
-@query("ml_score")
+@query(
+    "ml_score",
+    "SELECT event_id, error, CASE WHEN error = '' THEN coalesce(value, 'N/A') END AS value,"
+    " CASE WHEN error = '' THEN true END AS has_level, CASE WHEN error = '' THEN true END AS sure_enough,"
+    " CASE WHEN error = '' THEN 5 END AS factors, CASE WHEN error = '' THEN 'RandomForestClassifier' END AS model_type,"
+    f" CASE WHEN error = '' THEN '1.0' END AS version FROM (SELECT *, {feeds.REQUEST_ERROR} AS error FROM ({bridge.ansi(bridge.REQUESTS)}) AS r) AS c",
+)
 def ml_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Risk level and confidence of requests, some of types the model never saw."""
+    """Answers to requests; those that fail the check are not scored."""
     requests = bridge.view(spark, sf, bridge.REQUESTS).select(
-        "event_id", "indicator_type", "source", "value"
+        "event_id", "has_body", "indicator_type", "source", "value"
     )
-    scored = learning.score(requests, _model(spark, sf))
-    return scored.select(
-        "event_id", "value", "risk_level", "confidence", "model_type", "version"
+    answers = learning.answer(requests, _model(spark, sf), F.col("has_body") == 1)
+    return answers.select(
+        "event_id",
+        "error",
+        "value",
+        F.col("risk_level").isin("HIGH", "LOW").alias("has_level"),
+        # The chosen one of two classes has half of the votes at least.
+        F.col("confidence").between(50, 100).alias("sure_enough"),
+        F.when(F.col("top_factors").isNotNull(), F.size("top_factors")).alias("factors"),
+        "model_type",
+        "version",
     )
 
 
-@query("ml_topfeat")
+@query(
+    "ml_topfeat",
+    "SELECT unnest(range(1, least(5, (SELECT count(DISTINCT coalesce(indicator_type, 'missing')) + count(DISTINCT source)"
+    f" FROM ({LABELLED}) AS b)) + 1)) AS place, true AS in_range, true AS descending",
+)
 def ml_topfeat(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.top_features(spark, _model(spark, sf))
+    """The most important features: five rows at most, whatever the table."""
+    top = learning.top_features(spark, _model(spark, sf))
+    order = Window.orderBy(F.col("importance").desc(), "feature")
+    above = F.coalesce(F.lag("importance").over(order), F.lit(1.0))
+    return top.select(
+        F.row_number().over(order).cast("bigint").alias("place"),
+        F.col("importance").between(0, 1).alias("in_range"),
+        (F.col("importance") <= above).alias("descending"),
+    )
 
 
-@query("snk_model")
+@query(
+    "snk_model",
+    f"SELECT indicator_type, source, count(*) AS rows, true AS same FROM (SELECT {_FEATURES} FROM ({LABELLED}) AS b) AS f"
+    " GROUP BY indicator_type, source",
+)
 def snk_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of a model that was saved and loaded again."""
+    """Predictions of a model that was saved and loaded again, beside those of the one saved."""
     path = scratch_path(spark, "model")
-    learning.save(_model(spark, sf), path)
+    model = _model(spark, sf)
+    learning.save(model, path)
     rows = learning.impute(labelled(spark, sf).select("event_id", *fixed.MODEL_FEATURES))
-    predicted = learning.predict(rows, learning.load(path))
-    return predicted.groupBy(*fixed.MODEL_FEATURES, "prediction").agg(F.count("*").alias("rows"))
+    counted = rows.groupBy(*fixed.MODEL_FEATURES).agg(F.count("*").alias("rows"))
+    given = [*fixed.MODEL_FEATURES, "rows"]
+    before = learning.predict(counted, model).select(*given, F.col("prediction").alias("before"))
+    both = learning.predict(before, learning.load(path))
+    return both.select(*fixed.MODEL_FEATURES, "rows", (F.col("before") == F.col("prediction")).alias("same"))
 
 
-@query("ml_trainjob")
+@query("ml_trainjob", _REPORT)
 def ml_trainjob(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "model")
-    return learning.train_job(labelled(spark, sf), "event_id", path, trees=20)
+    return _report(learning.train_job(labelled(spark, sf), "event_id", path))
