@@ -32,7 +32,10 @@ BLOCK_TOKENS = 1 << 18
 MAX_BITS = 16
 ROWS_PER_RANGE = 20_000
 
-_IDS = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
+_IDS = (
+    "doc_id bigint, n_tokens bigint, ids_crc32 bigint, ids binary, "
+    "seen array<bigint>, often array<bigint>"
+)
 _BLOCKS = (
     "part int, block int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
     "checkpoints array<bigint>, bits binary"
@@ -56,40 +59,45 @@ def stored_type(tokenizer: str, end_id: int) -> str:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, stored: str = "<u4") -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of 32-bit ids) and ids (type ``stored``) with the end id."""
+    """doc_id, n_tokens, ids_crc32 (of 32-bit ids) and ids (type ``stored``) with the end id.
+
+    Every task adds one row without a document: the ids it has seen and how often.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_encoder = tokenizing.encoder(tokenizer)
-        for batch in batches:
-            ids = [text_encoder.encode(t) + end for t in batch.column(1).to_pylist()]
-            sizes = [len(x) // 4 for x in ids]
-            crcs = [zlib.crc32(x) for x in ids]
-            if stored != "<u4":
-                ids = [np.frombuffer(x, "<u4").astype(stored).tobytes() for x in ids]
-            yield _table(_IDS, [batch.column(0), sizes, crcs, ids])
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
-    return texts.mapInArrow(encode, _IDS)
-
-
-def count_ids(ids: DataFrame, stored: str) -> DataFrame:
-    """id, n over all documents: one sum per task, then added up."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                own = np.bincount(np.frombuffer(value.as_buffer(), stored))
-                if len(own) > len(total):
+            kept, sizes, crcs = [], [], []
+            for text in batch.column(1).to_pylist():
+                raw = text_encoder.encode(text) + end
+                ids = np.frombuffer(raw, "<u4")
+                own = np.bincount(ids, minlength=len(total)) if len(ids) > 20_000 else None
+                if own is None:
+                    if ids.max() >= len(total):
+                        total = np.append(total, np.zeros(int(ids.max()) + 1 - len(total), np.int64))
+                    np.add.at(total, ids, 1)
+                else:
                     own[: len(total)] += total
                     total = own
-                else:
-                    total[: len(own)] += own
+                sizes.append(len(ids))
+                crcs.append(zlib.crc32(raw))
+                kept.append(ids.astype(stored).tobytes() if stored != "<u4" else raw)
+            none = [None] * len(kept)
+            yield _table(_IDS, [batch.column(0), sizes, crcs, kept, none, none])
         used = np.flatnonzero(total)
-        yield _table("id bigint, n bigint", [used, total[used]])
+        yield _table(_IDS, [[None], [None], [None], [None], [used], [total[used]]])
+
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
+    return texts.mapInArrow(encode, _IDS)
+
 
-    return ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+def count_ids(ids: DataFrame) -> DataFrame:
+    """id, n over all documents."""
+    seen = ids.where(F.col("seen").isNotNull()).select(F.arrays_zip("seen", "often").alias("pairs"))
+    pairs = seen.select(F.explode("pairs").alias("p"))
+    return pairs.groupBy(F.col("p.seen").alias("id")).agg(F.sum("p.often").alias("n"))
 
 
 def code_lengths(counts: dict[int, int], max_bits: int) -> dict[int, int]:
@@ -179,8 +187,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, max_bits: int
     spark = docs.sparkSession
     kept, stored = scratch_path(spark, "ids"), stored_type(tokenizer, end_id)
     token_ids(docs, tokenizer, end_id, stored).write.option("compression", "zstd").parquet(kept)
-    ids = spark.read.parquet(kept)
-    counts = dict(count_ids(ids, stored).collect())  # bounded by the vocabulary
+    every = spark.read.parquet(kept)
+    counts = dict(count_ids(every).collect())  # bounded by the vocabulary
+    ids = every.where(F.col("ids").isNotNull()).select("doc_id", "n_tokens", "ids_crc32", "ids")
     while len(counts) > 1 << (max_bits - 1):
         max_bits += 1
     lengths = code_lengths(counts, max_bits)

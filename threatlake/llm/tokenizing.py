@@ -11,12 +11,14 @@ in a text are ordinary text.
 from __future__ import annotations
 
 import json
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
 _LONG = 64
 
 # Fixed value: the public pattern that byte-level BPE splits text with.
@@ -35,16 +37,38 @@ def _byte_symbols() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Memo(dict):
+    """Values by key, computed when missing; starts anew when full and keeps no long keys."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if len(key) <= _LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _SpaceMatters(Exception):
+    """A piece cannot be encoded without its neighbours."""
+
+
 class TextEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo_pieces = memo_pieces
-        self._pieces: dict[str, bytes | None] = {}
-        self._tokens: dict[str, bytes] = {}
+        largest = max(self.tokenizer.get_vocab().values(), default=0)
+        self._packed = [struct.pack("<I", i) for i in range(largest + 1)]
+        self._pieces = _Memo(self._piece, memo_pieces)
+        self._tokens = _Memo(self._token, memo_pieces)
         self._symbols = _byte_symbols()
+        self._space = self._symbols[0x20]
         self._find, self._spaced, self._lower = self._family()
 
     def _family(self):
@@ -66,17 +90,12 @@ class TextEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def _bpe(self, symbols: str) -> bytes:
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(symbols)])
+
     def _token(self, token: str) -> bytes:
-        found = self._tokens.get(token)
-        if found is None:
-            symbols = "".join(map(self._symbols.__getitem__, token.encode()))
-            ids = [t.id for t in self.tokenizer.model.tokenize(symbols)]
-            found = np.array(ids, "<u4").tobytes()
-            if len(token) <= _LONG:
-                if len(self._tokens) >= self.memo_pieces:
-                    self._tokens.clear()
-                self._tokens[token] = found
-        return found
+        return self._bpe("".join(map(self._symbols.__getitem__, token.encode())))
 
     def _run(self, text: str) -> bytes:
         """Any text of which the pattern's matches can be taken alone."""
@@ -84,16 +103,16 @@ class TextEncoder:
             return self._whole(text)
         if self._lower:
             text = text.lower()
-        return b"".join(map(self._token, self._find(text)))
+        return b"".join(map(self._tokens.__getitem__, self._find(text)))
 
-    def _piece(self, piece: str) -> bytes | None:
-        """None if a neighbour's white space matters."""
+    def _piece(self, piece: str) -> bytes:
+        """What follows a space, up to the next."""
+        if piece.isascii() and piece.isalpha():
+            # One match of either pattern, and its bytes are their own symbols.
+            return self._bpe(self._space + piece if self._spaced else piece.lower())
         if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        if self._spaced:
-            word = piece.isalpha() and _PLAIN.fullmatch(piece)
-            return self._token(" " + piece) if word else self._run(" " + piece)
-        return self._run(piece)
+            raise _SpaceMatters
+        return self._run(" " + piece if self._spaced else piece)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -103,20 +122,10 @@ class TextEncoder:
         first, *pieces = text.split(" ")
         if not first or first[-1].isspace():
             return self._run(text)
-        memo, out = self._pieces, [self._run(first)]
-        for piece in pieces:
-            try:
-                found = memo[piece]
-            except KeyError:
-                found = self._piece(piece)
-                if len(piece) <= _LONG:
-                    if len(memo) >= self.memo_pieces:
-                        memo.clear()
-                    memo[piece] = found
-            if found is None:
-                return self._run(text)
-            out.append(found)
-        return b"".join(out)
+        try:
+            return self._run(first) + b"".join(map(self._pieces.__getitem__, pieces))
+        except _SpaceMatters:
+            return self._run(text)
 
 
 _encoders: dict[tuple, TextEncoder] = {}
