@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -81,12 +80,17 @@ def _marks(bits: int, least: int) -> Callable:
     return mark
 
 
-def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Bits seen once by two tasks, or twice by one."""
-    seen = np.bincount(np.frombuffer(b"".join(rows["once"]), np.uint16), minlength=1 << _BLOCK)
-    double = seen > 1
-    double[np.frombuffer(b"".join(rows["twice"]), np.uint16)] = True
-    return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(double, bitorder="little").tobytes()]})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits seen once by two tasks, or twice by one; holds one count per bit of its blocks."""
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = seen.setdefault(block, np.zeros(1 << _BLOCK, np.uint8))
+            places = np.frombuffer(once, np.uint16)
+            own[places] = np.minimum(own[places] + 1, 2)
+            own[np.frombuffer(twice, np.uint16)] = 2
+    bits = [np.packbits(s > 1, bitorder="little").tobytes() for s in seen.values()]
+    yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array(bits, pa.binary())], ["block", "bits"])
 
 
 def twice_filter(docs: DataFrame, least: int) -> np.ndarray:
@@ -97,7 +101,7 @@ def twice_filter(docs: DataFrame, least: int) -> np.ndarray:
     while bits < min(MAX_FILTER_BITS, lines * BITS_PER_LINE):
         bits *= 2
     marks = docs.select("text").mapInArrow(_marks(bits, least), "block int, once binary, twice binary")
-    merged = marks.groupBy("block").applyInPandas(_merge, "block int, bits binary")
+    merged = marks.repartition("block").mapInArrow(_merge, "block int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     size = 1 << (_BLOCK - 3)
     for block, part in merged.collect():
