@@ -107,6 +107,9 @@ def test_raw_files(spark, tmp_path):
         "scc/empty.json": "",
         "nvd/n.json": json.dumps({"cves": [{"id": "CVE-1"}]}),
         "scc/placeholder.json": "{}",
+        "scc/other.json": json.dumps({"items": []}),
+        "scc/odd.json": json.dumps({"findings": [5, "x"]}),
+        "asset/trailing.json": json.dumps({"assets": []}) + " x",
     }
     for name, text in files.items():
         path = tmp_path / "raw" / name
@@ -120,7 +123,12 @@ def test_raw_files(spark, tmp_path):
     reasons = {r.object_name: r.reason for r in raw.quarantine(docs).collect()}
     assert reasons.pop("raw/alienvault/cut.json") == "not JSON"
     assert reasons.pop("raw/nvd/n.json") == "unknown source"
+    assert reasons.pop("raw/scc/other.json") == "no records"
+    assert reasons.pop("raw/asset/trailing.json") == "not JSON"
+    assert reasons.pop("raw/alienvault/none.json") == "no records"
     assert set(reasons) <= {"raw/scc/empty.json"}
+    bad = [(r.object_name, r.content) for r in raw.rejected(docs).collect() if r.reason == "bad record"]
+    assert sorted(bad) == [("raw/scc/odd.json", "5"), ("raw/scc/odd.json", "x")]
 
 
 def test_messages(spark):
@@ -156,3 +164,21 @@ def test_retention_prunes(spark, tmp_path):
     assert kept.count() == 5
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingest_date" in plan
+
+
+def test_json_is_checked_to_the_end(spark):
+    from threatlake.functions.columns import is_json
+
+    good = ['{"a":1}', '{"a":1,"a":2}', "[1, {}]", ' {"a": "\\u00e9"} ', "5", '{"v": "],["}']
+    bad = ['{"a":1} x', "", " ", "{", "{'a':1}", '{"a":1}, {"b":2}', "1],[2", '1,"#"],[2', None]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    found = {r.t: r.ok for r in rows.select("t", is_json(F.col("t")).alias("ok")).collect()}
+    assert [t for t in good if not found[t]] == []
+    assert [t for t in bad if found[t]] == []
+
+
+def test_a_repeated_detail_counts_once(spark):
+    basic = spark.createDataFrame([("a", "b1"), ("b", "b2"), (None, "b3")], "id string, payload string")
+    details = spark.createDataFrame([("a", "d1"), ("a", "d2")], "id string, payload string")
+    rows = raw.with_details(basic, details, "id", "payload").collect()
+    assert sorted(r.payload for r in rows) == ["b2", "b3", "d2"]

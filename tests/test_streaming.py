@@ -29,6 +29,20 @@ def test_ingest_equals_batch_and_picks_up_new_files(spark, sf_dir, tmp_path):
     assert archived == expected.count()
 
 
+def test_what_is_left_out_is_kept_with_a_reason(spark, tmp_path):
+    base = str(tmp_path)
+    (tmp_path / "raw" / "scc").mkdir(parents=True)
+    for name, text in {"cut": '{"findings": [', "none": '{"x": 1}', "odd": '{"findings": [7, {}]}'}.items():
+        (tmp_path / "raw" / "scc" / f"{name}.json").write_text(text)
+    ingest.ingest(
+        spark, f"{base}/raw", f"{base}/table", f"{base}/archive", f"{base}/checkpoint", quarantine_path=f"{base}/bad"
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{base}/bad").collect()
+    assert {(r.object_name, r.reason) for r in rows} == {
+        ("raw/scc/cut.json", "not JSON"), ("raw/scc/none.json", "no records"), ("raw/scc/odd.json", "bad record"),
+    }
+
+
 def test_enforcement_equals_batch(spark, sf_dir, tmp_path):
     base = str(tmp_path)
     events, history = landing.audit_messages(spark, sf_dir), landing.config_history(spark, sf_dir)

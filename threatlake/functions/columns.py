@@ -37,6 +37,21 @@ def drop_nulls(array: Column) -> Column:
     return F.filter(array, lambda x: x.isNotNull())
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value; repeated keys are allowed, trailing text is not.
+
+    The text is read as the first of two items of a list.  The second is a digest of the text, so
+    no text can close the list and put another second item there.  Null is no JSON.
+    """
+    mark = F.md5(text)
+    items = F.from_json(
+        F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')),
+        "array<string>",
+        {"allowSingleQuotes": "false"},
+    )
+    return F.coalesce((F.size(items) == 2) & (F.get(items, F.lit(1)) == mark), F.lit(False))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, without empty ones."""
     return F.filter(F.split(text, SPACES, -1), lambda w: w != "")

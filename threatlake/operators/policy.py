@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from threatlake.functions import fixed
-from threatlake.functions.columns import blank_to_null, empty_array, let, lookup
-from threatlake.functions.columns import word_list
+from threatlake.functions.columns import (
+    blank_to_null,
+    empty_array,
+    is_json,
+    let,
+    lookup,
+    word_list,
+)
 
 VIOLATION = (
     "struct<policy_id:string,message:string,severity:string,compliance:array<string>,"
@@ -289,8 +295,11 @@ def _violation_texts(results: pd.Series) -> pd.Series:
         own = listed if isinstance(listed, list) else []
         return own + [v for key, value in node.items() if key != "violation" for v in items(value)]
 
-    def texts(result: str) -> list[str]:
-        return [json.dumps(v, ensure_ascii=False) for v in items(json.loads(result))]
+    def texts(result: str) -> list[str] | None:
+        try:
+            return [json.dumps(v, ensure_ascii=False) for v in items(json.loads(result))]
+        except RecursionError:
+            return None  # nested too deeply to walk; the row has no violations
 
     return results.map(texts, na_action="ignore")
 
@@ -304,7 +313,7 @@ def collect_violations(
     through a small Arrow function; all others stay in the JVM.
     """
     relevant = F.when(
-        F.col(result_col).contains('"violation"') & F.try_parse_json(result_col).isNotNull(),
+        F.col(result_col).contains('"violation"') & is_json(F.col(result_col)),
         F.col(result_col),
     )
     rest = [c for c in results.columns if c != result_col]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.functions import fixed
-from threatlake.functions.columns import word_list
+from threatlake.functions.columns import is_json, word_list
 
 
 def decoded(data: Column) -> Column:
@@ -16,7 +16,7 @@ def decoded(data: Column) -> Column:
 def decode(messages: DataFrame, data_col: str = "data") -> DataFrame:
     """Add ``body``; messages that are not base64 JSON are dropped."""
     rows = messages.withColumn("body", decoded(F.col(data_col)))
-    return rows.where(F.try_parse_json("body").isNotNull())
+    return rows.where(is_json(F.col("body")))
 
 
 def requested_sources(body: Column) -> Column:

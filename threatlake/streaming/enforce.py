@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threatlake.functions.columns import is_json
 from threatlake.operators import policy
 from threatlake.sources import messages
 from threatlake.sources.schemas import AUDIT_EVENT, RESOURCE_CONFIG
@@ -33,7 +34,7 @@ def check_events(named: DataFrame, history: DataFrame) -> DataFrame:
         "*",
         policy.resource_type(F.col("resource_name")).alias("resource_type"),
         F.from_json("config", RESOURCE_CONFIG).alias("parsed"),
-        F.try_parse_json("config").isNotNull().alias("readable"),
+        is_json(F.col("config")).alias("readable"),
     )
     found = policy.evaluate(F.col("resource_type"), F.col("parsed"), F.col("readable"))
     return policy.results(rows.withColumn("policy_violations", found), ["policy_violations"])
