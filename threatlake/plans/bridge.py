@@ -40,10 +40,15 @@ SELECT event_id AS doc_id, concat(
   WHEN 14 THEN concat(' Also s', user_id, '.drop.net is attributed to ', event_id%200+20, '.', user_id%256, '.7.8 today.')
   WHEN 15 THEN concat(' And ', event_id%200+20, '.', user_id%256, '.7.8 is responsible for s', user_id, '.drop.net today.')
   WHEN 16 THEN concat(' A ', event_id%200+20, '.', user_id%256, '.7.8 campaign using s', user_id, '.drop.net today.')
-  ELSE '' END) AS text
+  ELSE '' END,
+ CASE WHEN event_id%9=4 THEN concat(' Then ', event_id%200+20, '.', user_id%256, '.9.9 communicates with ', event_id%200+20, '.', user_id%256, '.9.8 and ',
+  event_id%200+20, '.', user_id%256, '.9.9 met r', user_id, '.drop.net, then ', event_id%200+20, '.', user_id%256, '.9.9 and ', event_id%200+20, '.', user_id%256, '.9.8 met r', user_id, '.drop.net.') ELSE '' END) AS text
 FROM {events}
 """
 
+# Advisories and documents with ids of their own.
+TEXTS = f"SELECT doc_id, text FROM ({ADVISORIES}) AS advisories UNION ALL SELECT -1 - doc_id, text FROM {{documents}}"
+
 OTX = """
 SELECT event_id - event_id%5 AS pulse_id, event_id AS ind_seq,
  concat('pulse ', event_id - event_id%5) AS name,

@@ -16,6 +16,11 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.spread_view(spark, sf, bridge.ADVISORIES)
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Both corpora under one id: documents count down from -1."""
+    return bridge.spread_view(spark, sf, bridge.TEXTS)
+
+
 def _text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return bridge.spread(bridge.table(spark, sf, name))
 
@@ -93,7 +98,7 @@ def txt_ascii(spark: SparkSession, sf: str) -> DataFrame:
 # --- entities ----------------------------------------------------------------------------------------
 
 _ENTITIES = text_sql.entities(text_sql.DOCS, KEYS)
-_ADVISORY_ENTITIES = text_sql.entities(text_sql.ADVISORIES, ["doc_id"])
+_TEXT_ENTITIES = text_sql.entities(text_sql.TEXTS, ["doc_id"])
 
 
 @query(
@@ -131,12 +136,12 @@ _PAGES = "SELECT page_id AS doc_id, html AS text FROM pages"
 @query(
     "ent_fp",
     "SELECT doc_id, entity_type, value, start_pos FROM"
-    f" ({text_sql.candidates(text_sql.ADVISORIES, ['doc_id'], ['ipv4', 'domain'])}) AS c"
+    f" ({text_sql.candidates(text_sql.TEXTS, ['doc_id'], ['ipv4', 'domain'])}) AS c"
     f" WHERE {text_sql.IS_FALSE_POSITIVE}",
 )
 def ent_fp(spark: SparkSession, sf: str) -> DataFrame:
     """The matches that are dropped as known false positives."""
-    found = entities.candidates(advisories(spark, sf), ["doc_id"])
+    found = entities.candidates(texts(spark, sf), ["doc_id"])
     dropped = found.where(entities.is_false_positive(F.col("entity_type"), F.col("value")))
     return dropped.select("doc_id", "entity_type", "value", F.col("start").alias("start_pos"))
 
@@ -219,7 +224,7 @@ def _edges(edges: DataFrame) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
-    docs = advisories(spark, sf)
+    docs = texts(spark, sf)
     return docs.select(
         "doc_id",
         clean.analysis_text(F.col("text")).alias("cleaned"),
@@ -227,13 +232,13 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_PROXIMITY = text_sql.proximity(text_sql.ADVISORIES)
-_PHRASES = text_sql.phrases(text_sql.ADVISORIES)
+_PROXIMITY = text_sql.proximity(text_sql.TEXTS)
+_PHRASES = text_sql.phrases(text_sql.TEXTS)
 
 
 @query("rel_prox", f"SELECT {_EDGE_COLUMNS} FROM ({_PROXIMITY}) AS p")
 def rel_prox(spark: SparkSession, sf: str) -> DataFrame:
-    docs = advisories(spark, sf)
+    docs = texts(spark, sf)
     found = docs.select("doc_id", entities.entities_in(F.col("text")).alias("entities"))
     return _edges(relations.proximity(found, ["doc_id"]))
 
@@ -283,7 +288,7 @@ def rel_ctx(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rel_merge", text_sql.merged(_PROXIMITY))
 def rel_merge(spark: SparkSession, sf: str) -> DataFrame:
-    docs = advisories(spark, sf)
+    docs = texts(spark, sf)
     found = docs.select("doc_id", entities.entities_in(F.col("text")).alias("entities"))
     edges = relations.proximity(found, ["doc_id"])
     order = F.struct("source.start", "target.start")
@@ -353,7 +358,7 @@ def sev_text(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(*KEYS, *_severity("text_severity"))
 
 
-_ENTITY_SEVERITY = text_sql.entity_assessment(text_sql.ADVISORIES, ["doc_id"])
+_ENTITY_SEVERITY = text_sql.entity_assessment(text_sql.TEXTS, ["doc_id"])
 
 
 @query(
@@ -361,7 +366,7 @@ _ENTITY_SEVERITY = text_sql.entity_assessment(text_sql.ADVISORIES, ["doc_id"])
     f"SELECT doc_id, entity_type, value, start_pos, score, level, confidence, evidence_count FROM ({_ENTITY_SEVERITY}) AS s",
 )
 def sev_ent(spark: SparkSession, sf: str) -> DataFrame:
-    found = entities.mentions(advisories(spark, sf), ["doc_id"])
+    found = entities.mentions(texts(spark, sf), ["doc_id"])
     entity = F.struct("entity_type", "context")
     scored = found.withColumn("severity", severity.assess_entity(entity, F.lit("")))
     return scored.select(
@@ -396,15 +401,36 @@ def nlp_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(documents.analyze(corpora(spark, sf)), KEYS)
 
 
+# The parts of an analysis: its entities' severities and its relationships.
+_RATED = (
+    "SELECT doc_id, count(*) FILTER (level <> 'unknown') AS rated_entities, CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS BIGINT) AS entity_score"
+    f" FROM ({_ENTITY_SEVERITY}) AS s GROUP BY doc_id"
+)
+_RELATED = (
+    "SELECT doc_id, count(*) AS relationships, CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) AS BIGINT) AS edge_confidence FROM ("
+    + text_sql.merged(f"SELECT * FROM ({_PROXIMITY}) AS p UNION ALL SELECT * FROM ({_PHRASES}) AS q")
+    + ") AS m GROUP BY doc_id"
+)
+
+
 @query(
     "nlp_pipe",
-    "SELECT s.*, t.score, t.level, t.confidence, t.evidence_count"
-    f" FROM ({_SUMMARY}) AS s JOIN ({text_sql.assessment('SELECT corpus, doc_id, cleaned FROM (' + _CLEAN_DOCS + ') AS x', KEYS, 'cleaned')}) AS t"
-    " ON s.corpus = t.corpus AND s.doc_id = t.doc_id",
+    "SELECT s.*, t.score, t.level, t.confidence, t.evidence_count, coalesce(e.rated_entities, 0) AS rated_entities,"
+    " coalesce(e.entity_score, 0) AS entity_score, coalesce(r.relationships, 0) AS relationships, coalesce(r.edge_confidence, 0) AS edge_confidence"
+    f" FROM (SELECT *, CASE corpus WHEN 'advisory' THEN doc_id ELSE -1 - doc_id END AS text_id FROM ({_SUMMARY}) AS y) AS x"
+    f" JOIN ({_SUMMARY}) AS s ON s.corpus = x.corpus AND s.doc_id = x.doc_id"
+    f" JOIN ({text_sql.assessment('SELECT corpus, doc_id, cleaned FROM (' + _CLEAN_DOCS + ') AS x', KEYS, 'cleaned')}) AS t"
+    " ON s.corpus = t.corpus AND s.doc_id = t.doc_id"
+    f" LEFT JOIN ({_RATED}) AS e ON e.doc_id = x.text_id LEFT JOIN ({_RELATED}) AS r ON r.doc_id = x.text_id",
 )
 def nlp_pipe(spark: SparkSession, sf: str) -> DataFrame:
     """Whole analysis of every document, as one summary row."""
     analyzed = documents.analyze(corpora(spark, sf))
+    edges = relations.relationships(analyzed.select(*KEYS, "cleaned", "entities"), KEYS)
+    related = edges.groupBy(*KEYS).agg(
+        F.count("*").alias("relationships"),
+        F.sum(F.round(F.col("confidence") * 1000).cast("bigint")).alias("edge_confidence"),
+    )
     counts = [
         F.length("text").cast("bigint").alias("source_text_length"),
         F.length("cleaned").cast("bigint").alias("preprocessed_text_length"),
@@ -413,20 +439,44 @@ def nlp_pipe(spark: SparkSession, sf: str) -> DataFrame:
         .cast("bigint")
         .alias("type_count"),
     ]
-    return analyzed.select(*KEYS, *counts, *_severity("text_severity"))
+    rated = F.filter("entity_severities", lambda s: s["level"] != "unknown")
+    points = F.transform("entity_severities", lambda s: F.round(s["score"] * 1000).cast("bigint"))
+    summary = analyzed.select(
+        *KEYS,
+        *counts,
+        *_severity("text_severity"),
+        F.size(rated).cast("bigint").alias("rated_entities"),
+        F.aggregate(points, F.lit(0).cast("bigint"), lambda total, p: total + p).alias("entity_score"),
+    )
+    none = F.lit(0).cast("bigint")
+    return summary.join(related, KEYS, "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("relationships", "edge_confidence")}
+    )
+
+
+_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
+_TURN_RATED = (
+    "SELECT doc_id, count(*) AS entities, count(*) FILTER (level <> 'unknown') AS rated"
+    f" FROM ({text_sql.entity_assessment(_TURNS, ['doc_id'])}) AS s GROUP BY doc_id"
+)
 
 
 @query(
     "nlp_batch",
-    "SELECT t.level, count(*) AS texts, sum(CAST(length(t.cleaned) AS BIGINT)) AS characters FROM"
-    f" ({text_sql.assessment('SELECT conv_id, turn, ' + text_sql.cleaned() + ' AS cleaned FROM conversations', ['conv_id', 'turn'], 'cleaned')}) AS t GROUP BY t.level",
+    "SELECT t.level, count(*) AS texts, sum(CAST(length(t.cleaned) AS BIGINT)) AS characters,"
+    " CAST(sum(coalesce(e.entities, 0)) AS BIGINT) AS entities, CAST(sum(coalesce(e.rated, 0)) AS BIGINT) AS rated_entities FROM"
+    f" ({text_sql.assessment('SELECT doc_id, ' + text_sql.cleaned() + ' AS cleaned FROM (' + _TURNS + ') AS c', ['doc_id'], 'cleaned')}) AS t"
+    f" LEFT JOIN ({_TURN_RATED}) AS e ON e.doc_id = t.doc_id GROUP BY t.level",
 )
 def nlp_batch(spark: SparkSession, sf: str) -> DataFrame:
     """A list of texts: the turns of conversations."""
     analyzed = documents.analyze(_text_table(spark, sf, "conversations"))
+    rated = F.filter("entity_severities", lambda s: s["level"] != "unknown")
     return analyzed.groupBy(F.col("text_severity.level").alias("level")).agg(
         F.count("*").alias("texts"),
         F.sum(F.length("cleaned").cast("bigint")).alias("characters"),
+        F.sum(F.size("entities").cast("bigint")).alias("entities"),
+        F.sum(F.size(rated).cast("bigint")).alias("rated_entities"),
     )
 
 
@@ -444,19 +494,19 @@ _FIRST_LEVEL = (
 )
 def nlp_indic(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: documents to indicators."""
-    rows = documents.indicators(advisories(spark, sf), ["doc_id"])
+    rows = documents.indicators(texts(spark, sf), ["doc_id"])
     return rows.withColumn("tags", F.array_join("tags", "|"))
 
 
 @query(
     "nlp_hilite",
     "SELECT a.doc_id, coalesce(h.highlights, '') AS highlights"
-    f" FROM ({text_sql.ADVISORIES}) AS a LEFT JOIN ("
+    f" FROM ({text_sql.TEXTS}) AS a LEFT JOIN ("
     "SELECT doc_id, string_agg(concat(start_pos, '-', start_pos + length(value), ' ', entity_type, ' ', first_level, ' ', value), ';'"
     f" ORDER BY start_pos, type_rank) AS highlights FROM ({_FIRST_LEVEL}) AS f GROUP BY doc_id) AS h ON a.doc_id = h.doc_id",
 )
 def nlp_hilite(spark: SparkSession, sf: str) -> DataFrame:
-    marked = documents.highlights(advisories(spark, sf), ["doc_id"])
+    marked = documents.highlights(texts(spark, sf), ["doc_id"])
     line = F.transform(
         "highlights",
         lambda h: F.format_string(

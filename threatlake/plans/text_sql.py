@@ -6,6 +6,7 @@ from threatlake.functions import fixed
 from threatlake.plans import bridge
 
 ADVISORIES = bridge.ansi(bridge.ADVISORIES)
+TEXTS = bridge.ansi(bridge.TEXTS)
 
 # Advisories and documents side by side.
 DOCS = (
