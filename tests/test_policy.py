@@ -89,3 +89,20 @@ def test_signatures(spark):
         "image string, issuer string, identity string",
     )
     assert sorted(r.id for r in policy.unsigned(resources, signatures).collect()) == [2, 3]
+
+
+def test_supply_chain_of_events(spark):
+    """A refused image, one that was never checked, a signed one, and types that need no signature."""
+    kinds = ["run.googleapis.com/Service"] * 3 + ["storage.googleapis.com/Bucket", "run.googleapis.com/Service"]
+    images = ["bad", "never", "good", "bad", None]
+    rows = [(i, k, m) for i, (k, m) in enumerate(zip(kinds, images, strict=True))]
+    resources = spark.createDataFrame(rows, "id int, resource_type string, image string")
+    signatures = spark.createDataFrame(
+        [("good", "https://accounts.google.com", "ci@your-builder-project.iam.gserviceaccount.com"),
+         ("good", "https://other", None), ("bad", "https://accounts.google.com", "me@home.org"), ("bad", None, None)],
+        "image string, issuer string, identity string",
+    )
+    found = policy.with_supply_chain(resources, signatures).collect()
+    assert {r.id: [v.policy_id for v in r.supply_chain_violations] for r in found} == {
+        0: ["supply_chain_violation"], 1: ["supply_chain_error"], 2: [], 3: [], 4: [],
+    }

@@ -374,6 +374,37 @@ def supply_chain_violation(image: Column) -> Column:
     )
 
 
+def supply_chain_error(image: Column) -> Column:
+    return violation(
+        "supply_chain_error",
+        "Image signature was never checked",
+        extra=F.create_map(F.lit("image"), image),
+    )
+
+
+def with_supply_chain(
+    resources: DataFrame,
+    signatures: DataFrame,
+    issuer: str = fixed.SIGNATURE_ISSUER,
+    identity: str = fixed.SIGNATURE_IDENTITY,
+) -> DataFrame:
+    """Add ``supply_chain_violations`` (columns ``resource_type`` and ``image`` are given).
+
+    An image that was checked and refused is a violation; an image without any check is an error.
+    One row per image is joined, so a popular image is a hot key of one side only.
+    """
+    good = (F.col("issuer") == issuer) & F.col("identity").rlike(identity)
+    checks = signatures.groupBy("image").agg(F.coalesce(F.bool_or(good), F.lit(False)).alias("_signed"))
+    wanted = needs_signature(F.col("resource_type"), F.col("image"))
+    found = (
+        F.when(wanted & F.col("_signed").isNull(), F.array(supply_chain_error(F.col("image"))))
+        .when(wanted & ~F.col("_signed"), F.array(supply_chain_violation(F.col("image"))))
+        .otherwise(empty_array(VIOLATION))
+    )
+    joined = resources.join(checks, "image", "left")
+    return joined.withColumn("supply_chain_violations", found).drop("_signed")
+
+
 # --- results -------------------------------------------------------------------------------------------------
 
 

@@ -23,11 +23,14 @@ def named_events(events: DataFrame) -> DataFrame:
     return named.where(policy.has_project(F.col("resource_name")))
 
 
-def check_events(named: DataFrame, history: DataFrame) -> DataFrame:
+def check_events(
+    named: DataFrame, history: DataFrame, signatures: DataFrame | None = None
+) -> DataFrame:
     """Named events against the configuration history, with their violations.
 
     ``history`` has resource_name, ts, version and config (JSON text).  Events without a
-    configuration go no further.
+    configuration go no further.  With ``signatures`` (image, issuer, identity) the images of the
+    resources are checked too.
     """
     matched = policy.as_of(named, history, "resource_name", "ts", ["version", "config"], "version")
     rows = matched.where(F.col("version").isNotNull()).select(
@@ -37,7 +40,12 @@ def check_events(named: DataFrame, history: DataFrame) -> DataFrame:
         is_json(F.col("config")).alias("readable"),
     )
     found = policy.evaluate(F.col("resource_type"), F.col("parsed"), F.col("readable"))
-    return policy.results(rows.withColumn("policy_violations", found), ["policy_violations"])
+    rows = rows.withColumn("policy_violations", found)
+    if signatures is None:
+        return policy.results(rows, ["policy_violations"])
+    imaged = rows.withColumn("image", policy.image_of(F.col("parsed")))
+    both = policy.with_supply_chain(imaged, signatures)
+    return policy.results(both, ["policy_violations", "supply_chain_violations"])
 
 
 def enforce(
@@ -47,6 +55,7 @@ def enforce(
     out_path: str,
     checkpoint: str,
     timestamp: Column | None = None,
+    signatures: DataFrame | None = None,
 ) -> StreamingQuery:
     """Start the stream; non-compliant resources of every batch are written out."""
     events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
@@ -55,7 +64,7 @@ def enforce(
         named = named_events(batch).persist()
         # The history is large and a batch small: only the batch's resources are looked up.
         wanted = named.select("resource_name").distinct()
-        checked = check_events(named, history.join(wanted, "resource_name", "left_semi"))
+        checked = check_events(named, history.join(wanted, "resource_name", "left_semi"), signatures)
         stamp = F.unix_timestamp(F.current_timestamp()) if timestamp is None else timestamp
         try:
             (
