@@ -37,16 +37,6 @@ AUDIT_EVENT = (
     "resource:struct<name:string>,requestMetadata:struct<callerSuppliedResourceName:string>>,"
     "kind:string,bucket:string,name:string>"
 )
-BUCKET_CONFIG = (
-    "struct<name:string,iamConfiguration:struct<bindings:"
-    "array<struct<role:string,members:array<string>>>>>"
-)
-VM_CONFIG = (
-    "struct<name:string,networkInterfaces:array<struct<network:string,"
-    "accessConfigs:array<struct<type:string,name:string>>>>,"
-    "shieldedInstanceConfig:struct<enableSecureBoot:boolean,enableVtpm:boolean,"
-    "enableIntegrityMonitoring:boolean>>"
-)
 RESOURCE_CONFIG = (
     "struct<name:string,iamConfiguration:struct<bindings:"
     "array<struct<role:string,members:array<string>>>>,"
@@ -65,8 +55,3 @@ def to_indicator_schema(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         value = F.col(name) if name in df.columns else F.lit(None)
         columns.append(value.cast(kind).alias(name))
     return df.select(*columns)
-
-
-def normalise_time(column: str) -> Column:
-    """ISO text of the indicator table as a timestamp, null when it is not one."""
-    return F.try_to_timestamp(F.col(column))
