@@ -214,7 +214,9 @@ def test_components_of_odd_documents(docs, size, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == wanted
 
 
-def test_one_of_each_group_stays(docs):
+@pytest.mark.parametrize("few", [jaccard_join.BROADCAST_CLASSES, -1])
+def test_one_of_each_group_stays(docs, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", few)
     kept = jaccard_join.keep_one(docs, 3, 90)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
