@@ -11,9 +11,9 @@ Texts with equal shingle sets form a class; only classes are joined, so copies a
    can still follow the shared shingle) and the suffix filter (the sets' sizes per hash range bound
    their overlap).  Each pair is verified once, on the whole sets.
 
-A shingle that many classes have would give a pair for every two of them.  Hub rounds come first:
-each shingle's members are compared with one member of like size, and linked members get a common
-component.  The last round then takes all pairs of members of different components, and skips
+A shingle that many classes have would give a pair for every two of them.  So its members are first
+compared with the least and the greatest member of like size, and linked members get a common
+component.  A second round then takes all pairs of members of different components, and skips
 shingles with a single component.  A pair inside one component could not change the result.
 
 Null texts and texts without words have no set and are linked with nothing; a text of fewer words
@@ -24,7 +24,6 @@ smallest id unless there is no other.  An empty table gives no rows.  Only doc_i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +36,16 @@ from threatlake.llm.common import written
 COUNTERS = 1 << 22
 BROADCAST_CLASSES = 500_000
 MEMO_WORDS = 400_000
-HUB_ROUNDS = 2
+HUB_LABEL_ROUNDS = 3
 
 _BLOCK = 1 << 16
 _RANGES = 64
 _SALTS = 16
-_PASS1 = "doc_id bigint, fp bigint, n int, c1 bigint, c2 bigint, block int, counts binary"
+_PASS1 = (
+    "doc_id bigint, fp bigint, n int, c1 bigint, c2 bigint, ranges array<int>, block int, counts binary"
+)
 _POSTINGS = "token bigint, c1 bigint, c2 bigint, n int, pos int"
-_SETS = "c1 bigint, c2 bigint, shingles array<bigint>, ranges array<int>"
+_SETS = "c1 bigint, c2 bigint, shingles array<bigint>"
 
 _memo: dict[bytes, int] = {}
 
@@ -95,32 +96,37 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
 
 def _first_pass(size: int):
     names = [c.split()[0] for c in _PASS1.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
 
     def rows(columns: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(COUNTERS, np.uint32), set()
+        counts, seen, waiting, held = np.zeros(COUNTERS, np.uint32), set(), [], 0
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, ranges = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, size)
                 sizes.append(len(own))
                 classes.append(_class_of(own) if len(own) else (None, None))
+                ranges.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=_RANGES).astype(np.int32))
                 if len(own) and classes[-1] not in seen:
                     seen.add(classes[-1])
-                    counts += np.bincount(_slot(own), minlength=COUNTERS).astype(np.uint32) if len(own) > 50_000 else 0
-                    if len(own) <= 50_000:
-                        np.add.at(counts, _slot(own), 1)
+                    waiting.append(_slot(own))
+                    held += len(own)
+                if held >= COUNTERS:
+                    counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+                    waiting, held = [], 0
             n, none = len(sizes), [None] * len(sizes)
             c1, c2 = zip(*classes, strict=True) if n else ((), ())
-            yield rows([batch.column(0), batch.column(1), sizes, list(c1), list(c2), none, none])
+            yield rows([batch.column(0), batch.column(1), sizes, list(c1), list(c2), ranges, none, none])
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
         blocks = [b for b in range(COUNTERS // _BLOCK) if counts[b * _BLOCK : (b + 1) * _BLOCK].any()]
         if blocks:
             none = [None] * len(blocks)
             parts = [counts[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in blocks]
-            yield rows([none, none, none, none, none, blocks, parts])
+            yield rows([none] * 6 + [blocks, parts])
 
     return run
 
@@ -170,31 +176,31 @@ def _sets(size: int):
         for batch in batches:
             own = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
             classes = [_class_of(s) for s in own]
-            spread = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=_RANGES) for s in own]
             yield pa.record_batch(
                 [
                     pa.array([c[0] for c in classes], pa.int64()),
                     pa.array([c[1] for c in classes], pa.int64()),
                     pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
-                    pa.array([s.astype(np.int32) for s in spread], pa.list_(pa.int32())),
                 ],
-                ["c1", "c2", "shingles", "ranges"],
+                ["c1", "c2", "shingles"],
             )
 
     return run
 
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, label: the least node that links (a, b) reach, by least neighbours and pointer jumps.
 
-    Every round writes its labels, so that a lost executor repeats one round at most.
+    ``labels`` holds what is known so far, each node at first its own label.  After ``rounds`` rounds
+    a label is some node that its own reaches, so equal labels mean a path; without ``rounds`` it
+    goes on until nothing changes.  Every round is written, so that a lost executor repeats one.
     """
     both = written(
         edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "edges",
     )
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
+    done = 0
+    while rounds is None or done < rounds:
         least = (
             both.join(labels, both["b"] == labels["node"])
             .groupBy("a")
@@ -210,8 +216,10 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "labels",
         )
         labels = jumped.select("node", "label")
-        if jumped.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        done += 1
+        if rounds is None and jumped.where(F.col("old") != F.col("label")).isEmpty():
+            break
+    return labels
 
 
 def _may_overlap(percent: int, shared_at_a: Column, shared_at_b: Column) -> Column:
@@ -223,9 +231,9 @@ def _may_overlap(percent: int, shared_at_a: Column, shared_at_b: Column) -> Colu
     return (100 * small >= percent * large) & enough
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, a_n, b, b_n) that are linked; ranges first, then the whole sets."""
-    light = sets.select("cls", "ranges")
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: pairs whose sizes per hash range leave room for the overlap."""
+    light = classes.select("cls", "ranges")
     a_light = light.select(F.col("cls").alias("a"), F.col("ranges").alias("a_r"))
     b_light = light.select(F.col("cls").alias("b"), F.col("ranges").alias("b_r"))
     differing = F.aggregate(
@@ -233,15 +241,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     # |a xor b| is at least ``differing``, and at most (100 - percent) / (100 + percent) of both sizes.
     possible = (100 + percent) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    left = pairs.join(a_light, "a").join(b_light, "b").where(possible).drop("a_r", "b_r")
-    whole = sets.select("cls", "shingles")
-    a_sets = whole.select(F.col("cls").alias("a"), F.col("shingles").alias("a_s"))
-    b_sets = whole.select(F.col("cls").alias("b"), F.col("shingles").alias("b_s"))
+    return pairs.join(a_light, "a").join(b_light, "b").where(possible).drop("a_r", "b_r")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are linked, by their whole sets."""
+    a_sets = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("a_s"))
+    b_sets = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("b_s"))
     linked = let(
         F.size(F.array_intersect("a_s", "b_s")),
         lambda both: 100 * both >= percent * (F.col("a_n") + F.col("b_n") - both),
     )
-    return left.join(a_sets, "a").join(b_sets, "b").where(linked).select("a", "b")
+    return pairs.join(a_sets, "a").join(b_sets, "b").where(linked).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -255,13 +266,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _hub_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every member with its shingle's hub of the same size band, if of another component."""
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Every member with its shingle's least and greatest one of the same size band."""
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).alias("band")
-    banded = postings.select("token", "cls", "n", "pos", "label", band)
-    pick = (F.min if turn % 2 == 0 else F.max)(F.struct("n", "cls", "pos", "label"))
-    hubs = banded.groupBy("token", "band").agg(pick.alias("hub"), F.count("*").alias("m")).where("m > 1")
-    joined = banded.join(hubs, ["token", "band"]).where(F.col("label") != F.col("hub.label"))
+    banded = postings.select("token", "cls", "n", "pos", band)
+    member = F.struct("n", "cls", "pos")
+    hubs = banded.groupBy("token", "band").agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    hubs = hubs.where(F.col("lo.cls") != F.col("hi.cls")).select(
+        "token", "band", F.explode(F.array("lo", "hi")).alias("hub")
+    )
+    joined = banded.join(hubs, ["token", "band"]).where(F.col("cls") != F.col("hub.cls"))
     named = joined.select(
         F.col("hub.cls").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.pos").alias("a_pos"),
         F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
@@ -297,7 +311,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("bigint"), fp.alias("fp"), "text")
     first = written(keyed.mapInArrow(_first_pass(size), _PASS1), "classes")
     cls = F.struct("c1", "c2")
-    documents = first.where(F.col("block").isNull()).select("doc_id", "fp", "n", cls.alias("cls"))
+    documents = first.where(F.col("block").isNull()).select("doc_id", "fp", "n", cls.alias("cls"), "ranges")
     parts = first.where(F.col("block").isNotNull()).select("block", "counts")
     counts = np.zeros(COUNTERS, np.uint32)  # bounded: one number per counter
     for block, values in parts.repartition("block").mapInArrow(_add_blocks, "block int, counts binary").collect():
@@ -320,32 +334,35 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "fp")).alias("chosen"),
             F.count("*").alias("members"),
+            F.min("ranges").alias("ranges"),
         )
     )
     active = written(classes.join(postings.select("cls").distinct(), "cls", "left_semi"), "active")
-    wanted = active.select(F.col("chosen.doc_id").alias("w_id"), F.col("chosen.fp").alias("w_fp"))
-    if active.count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["fp"] == wanted["w_fp"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(size), _SETS)
-    sets = written(
-        sets.select(cls.alias("cls"), "shingles", "ranges").dropDuplicates(["cls"]), "shingle-sets"
-    )
+    repeats = not documents.groupBy("doc_id", "fp").count().where("count > 1").isEmpty()
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs' classes are made again from one text of each."""
+        named = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+        wanted = active.join(named, "cls", "left_semi").select(
+            F.col("chosen.doc_id").alias("w_id"), F.col("chosen.fp").alias("w_fp")
+        )
+        if active.count() <= BROADCAST_CLASSES:
+            wanted = F.broadcast(wanted)
+        same = keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["fp"] == wanted["w_fp"])
+        texts = keyed.join(wanted, same, "left_semi")
+        sets = texts.select("text").mapInArrow(_sets(size), _SETS).select(cls.alias("cls"), "shingles")
+        sets = written(sets.dropDuplicates(["cls"]) if repeats else sets, "shingle-sets")
+        return written(_verified(pairs, sets, percent), "links")
 
     nodes = active.select(F.col("cls").alias("node"))
     labels = nodes.select("node", F.col("node").alias("label"))
-    links: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    for turn in range(HUB_ROUNDS + 1):
-        members = _labelled(postings, labels)
-        last = turn == HUB_ROUNDS
-        pairs = _cross_pairs(members, percent) if last else _hub_pairs(members, percent, turn)
-        for before in tried:
-            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried.append(pairs)
-        links.append(written(_verified(pairs, sets, percent), "links"))
-        labels = connected(reduce(DataFrame.unionAll, links), nodes)
+    hub_pairs = written(_possible(_hub_pairs(postings, percent), active, percent), "pairs")
+    hub_links = links_of(hub_pairs)
+    labels = connected(hub_links, labels, HUB_LABEL_ROUNDS)
+    rest = _cross_pairs(_labelled(postings, labels), percent)
+    rest = rest.join(hub_pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rest_pairs = written(_possible(rest, active, percent), "pairs")
+    labels = connected(hub_links.unionAll(links_of(rest_pairs)), labels)
 
     # The smallest id of a component, for classes that have links or several members.
     ids = classes.join(labels, classes["cls"] == labels["node"], "left").select(
@@ -387,7 +404,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     fp = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text"))
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_fp": fp})
 
+    # Ids and hashes of the documents that stay: broadcast while they are few, else shuffled.
+    few = found.count() <= BROADCAST_CLASSES
+
     def only(rows: DataFrame, which: DataFrame) -> DataFrame:
+        which = F.broadcast(which) if few else which
         same = rows["_id"].eqNullSafe(which["_k_id"]) & (rows["_fp"] == which["_k_fp"])
         return rows.join(which, same, "left_semi")
 
