@@ -18,8 +18,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go; the count of characters follows the text."""
-    kept = line_dedup.drop_shared_lines(docs, min_docs=10)
+    """Lines that ten documents or more share stay once, where they come first.
+
+    The count of characters follows the text.  Documents left without a word go: all their lines
+    stand elsewhere, and later stages would link them with nothing.
+    """
+    kept = line_dedup.drop_shared_lines(docs, min_docs=10, keep_first=True)
+    kept = kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     fresh = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", fresh).select(docs.columns)
 

@@ -395,3 +395,18 @@ def test_stages_keep_the_columns_and_clean_documents(spark, docs, items, tmp_pat
     assert not ids & {1, 2, 6, 7, 9, 10, 11, 12, 15}
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids
+
+
+def test_one_of_many_copies_keeps_its_full_text(spark):
+    """Groups past the stage's ten documents: exact copies, and the lines of a license."""
+    whole = "\n".join(samples.words(30, 50 + i) for i in range(4))
+    rows = [(i, whole, "en") for i in range(20, 32)]
+    rows += [(i, f"{samples.words(30, i)}\nA License line\n{samples.words(30, 100 + i)}", "en") for i in range(40, 52)]
+    rows += [(60, "A License line", "en"), (61, "a short own line", "en")]
+    frame = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lines = corpus_pipeline.drop_shared_lines(spark, frame.repartition(3), "")
+    kept = {r.doc_id: r for r in corpus_pipeline.drop_near_duplicates(spark, lines, "").collect()}
+    assert set(kept) == {20, *range(40, 52), 61}
+    assert kept[20].text == whole
+    assert [d for d in range(40, 52) if "License" in kept[d].text] == [40]
+    assert kept[41].n_chars == len(kept[41].text)
