@@ -177,6 +177,16 @@ def test_language_of_odd_documents(docs):
         assert (r.lang_pred in ("en", "de")) if lettered else (r.lang_pred, r.score) == ("und", 0.0)
 
 
+def test_texts_unlike_all_learned_languages_go(spark):
+    known = [(i, samples.words(40, 1000 + i), "en" if i % 2 else "de") for i in range(60)]
+    known += [(i, samples.words(40, 1000 + i).translate(str.maketrans("abcdefgh", "stuvwxyz")), "fr") for i in range(60, 90)]
+    unlike = ["Η γρήγορη αλεπού πηδά πάνω από το σκυλί", "Съешь же ещё этих мягких булок", "天地玄黃宇宙洪荒日月盈昃", "б", "kqjm plno jkqm onml"]
+    rows = known + [(100 + i, text, None) for i, text in enumerate(unlike)] + [(200, known[0][1][:30], None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_identified(frame).collect()}
+    assert kept == {*range(90), 200}
+
+
 def test_long_texts_are_read_whole_in_pieces(monkeypatch):
     text = samples.words(500, 4) + " Ünd\n\n𝒜 "
     whole = language_id.ngrams(text)

@@ -13,6 +13,12 @@ does not change.
 Training takes at most ``PER_LANGUAGE`` labelled documents of each of at most ``MAX_LANGUAGES``
 languages (the most frequent ones), chosen by a hash of doc_id; nothing else is bounded.
 
+A score says which language a text is nearest to, not whether it is near: a text that shares nothing
+with the landmarks scores one half.  So ``keep_identified`` also asks how many of a text's n-grams
+the landmarks know at all.  Each language's cut is ``SLACK`` times the least share among its training
+documents that the model gets right, a landmark being judged by the others.  The slack is for
+documents not trained on.
+
 ``lang_pred`` is a learned language, or ``und`` for a null text, a text without letters, and
 everything where there was nothing to learn from; ties go to the first language in order of name.
 ``score`` is 0 to 1.  Repeated rows get equal results; an empty table gives no rows.  Columns named
@@ -27,13 +33,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 SPECTRUM = 3
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
 LANDMARKS = 128
 RIDGE = 1e-3
+SLACK = 2 / 3
 UNKNOWN = "und"
 
 _CLASSES = 64
@@ -99,6 +106,7 @@ class Model:
     place: np.ndarray  # n-gram to its row, or -1
     landmarks: np.ndarray  # presence (vocabulary x landmarks) over the root of their sizes
     weights: np.ndarray  # landmarks x languages
+    least_known: np.ndarray  # share of known n-grams that a text of each language must have
 
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         rows = np.zeros((len(texts), len(self.vocabulary)), np.float32)
@@ -110,6 +118,11 @@ class Model:
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         return self.kernel(texts) @ self.weights
 
+    def alike(self, texts: list[np.ndarray], best: np.ndarray) -> list[bool]:
+        """Whether the landmarks know as many of a text's n-grams as its language asks for."""
+        known = [np.count_nonzero(self.place[own] >= 0) / max(1, len(own)) for own in texts]
+        return [bool(k) and k >= self.least_known[b] for k, b in zip(known, best, strict=True)]
+
 
 def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit from (language, n-grams) pairs in a fixed order; None if there are none."""
@@ -118,14 +131,16 @@ def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, rid
         return None
     languages = sorted({lang for lang, _ in samples})
     each = max(1, landmarks // len(languages))
-    chosen = [own for name in languages for own in [o for lang, o in samples if lang == name][:each]]
+    at = [i for name in languages for i in [i for i, (lang, _) in enumerate(samples) if lang == name][:each]]
+    chosen = [samples[i][1] for i in at]
     vocabulary = np.unique(np.concatenate(chosen))
     place = np.full(_SIZE, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
     matrix = np.zeros((len(vocabulary), len(chosen)), np.float32)
     for j, own in enumerate(chosen):
         matrix[place[own], j] = 1 / np.sqrt(len(own))
-    model = Model(languages, vocabulary, place, matrix, np.zeros((len(chosen), len(languages)), np.float32))
+    none = np.zeros((len(chosen), len(languages)), np.float32)
+    model = Model(languages, vocabulary, place, matrix, none, np.zeros(len(languages)))
     own_kernel = (matrix.T @ matrix).astype(np.float64)
     against = np.concatenate(
         [model.kernel([o for _, o in samples[i : i + _BATCH]]) for i in range(0, len(samples), _BATCH)]
@@ -136,6 +151,15 @@ def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, rid
     left = against.T @ (balance * against) + ridge * len(samples) * own_kernel
     left += 1e-8 * np.trace(left) * np.eye(len(left))
     model.weights = np.linalg.solve(left, against.T @ (balance * target)).astype(np.float32)
+    right = (against @ model.weights).argmax(axis=1) == labels
+    held, is_landmark = np.count_nonzero(matrix, axis=1), set(at)
+    least = np.full(len(languages), np.inf)
+    for i in np.flatnonzero(right):
+        rows = place[samples[i][1]]
+        # A landmark counts by what the others know of it.
+        known = np.count_nonzero(held[rows[rows >= 0]] > (i in is_landmark)) / len(rows)
+        least[labels[i]] = min(least[labels[i]], known)
+    model.least_known = np.where(np.isfinite(least), SLACK * least, 0.0)
     return model
 
 
@@ -175,27 +199,36 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
 def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all by default) with lang_pred and score."""
     kept = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
+    return _predicted(docs, model, kept)
+
+
+def _predicted(docs: DataFrame, model: Model | None, kept: list[str], with_alike: bool = False) -> DataFrame:
     schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType())
+    if with_alike:
+        schema = schema.add("alike", BooleanType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            names, scores = [], []
+            names, scores, alike = [], [], []
             texts = batch.column(batch.num_columns - 1)
             for start in range(0, batch.num_rows, _BATCH):
                 own = [ngrams(t) for t in texts.slice(start, _BATCH).to_pylist()]
                 if fitted is None:
                     names += [UNKNOWN] * len(own)
                     scores += [0.0] * len(own)
+                    alike += [False] * len(own)
                     continue
                 values = fitted.scores(own)
                 best = values.argmax(axis=1)
                 top = np.clip((values[np.arange(len(own)), best] + 1) / 2, 0, 1)
                 names += [fitted.languages[b] if len(g) else UNKNOWN for b, g in zip(best, own, strict=True)]
                 scores += [float(s) if len(g) else 0.0 for s, g in zip(top, own, strict=True)]
+                alike += fitted.alike(own, best) if with_alike else []
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.record_batch(columns, [*kept, "lang_pred", "score"])
+            columns += [pa.array(alike, pa.bool_())] * with_alike
+            yield pa.record_batch(columns, schema.names)
 
     return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -203,11 +236,12 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = No
 def keep_identified(docs: DataFrame, min_score: float = 0.25, languages: list[str] | None = None) -> DataFrame:
     """The documents whose language is known, with all their columns.
 
-    Rejected are ``und``, scores below ``min_score`` and, if given, languages outside the list.
+    Rejected are ``und``, scores below ``min_score``, texts unlike those of their predicted language
+    and, if given, languages outside the list.
     """
     model = fit(docs)
-    found = predict(docs.withColumn("_row", F.struct(*docs.columns)), model, ["_row"])
-    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    found = _predicted(docs.withColumn("_row", F.struct(*docs.columns)), model, ["_row"], with_alike=True)
+    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & F.col("alike")
     if languages is not None:
         keep &= F.col("lang_pred").isin(languages)
     return found.where(keep).select("_row.*")
