@@ -187,6 +187,21 @@ def test_texts_unlike_all_learned_languages_go(spark):
     assert kept == {*range(90), 200}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than 200 languages; beyond the bound on rows each has fewer, but some."""
+    rows = [(1000 * k + i, samples.words(4, 1000 * k + i), f"l{k:03}") for k in range(230) for i in range(3)]
+    rows += [(-i, samples.words(4, i), "l000") for i in range(1, 400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert len(learned) > 200
+    assert language_id.fit(frame).languages == sorted(learned)
+    taken = []
+    monkeypatch.setattr(language_id, "TRAINING_ROWS", 2 * len(learned))
+    monkeypatch.setattr(language_id, "train", lambda found, landmarks: taken.extend(lang for lang, _ in found))
+    language_id.fit(frame)
+    assert set(taken) == learned and max(Counter(taken).values()) == 2
+
+
 def test_long_texts_are_read_whole_in_pieces(monkeypatch):
     text = samples.words(500, 4) + " Ünd\n\n𝒜 "
     whole = language_id.ngrams(text)

@@ -10,8 +10,9 @@ Letters a to z have classes of their own, other letters share classes by code po
 anything else are one separator.  A text is read piece by piece, whole, in memory that its length
 does not change.
 
-Training takes at most ``PER_LANGUAGE`` labelled documents of each of at most ``MAX_LANGUAGES``
-languages (the most frequent ones), chosen by a hash of doc_id; nothing else is bounded.
+Training takes at most ``PER_LANGUAGE`` labelled documents of each language, and fewer where more
+than ``TRAINING_ROWS`` would come together, but one at least: every language is learned.  They are
+chosen by a hash of doc_id; nothing else is bounded.
 
 A score says which language a text is nearest to, not whether it is near: a text that shares nothing
 with the landmarks scores one half.  So ``keep_identified`` also asks how many of a text's n-grams
@@ -37,7 +38,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 SPECTRUM = 3
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+TRAINING_ROWS = 80_000
 LANDMARKS = 128
 RIDGE = 1e-3
 SLACK = 2 / 3
@@ -131,7 +132,13 @@ def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, rid
         return None
     languages = sorted({lang for lang, _ in samples})
     each = max(1, landmarks // len(languages))
-    at = [i for name in languages for i in [i for i, (lang, _) in enumerate(samples) if lang == name][:each]]
+    number = {name: k for k, name in enumerate(languages)}
+    labels = np.array([number[lang] for lang, _ in samples])
+    firsts: list[list[int]] = [[] for _ in languages]
+    for i, k in enumerate(labels):
+        if len(firsts[k]) < each:
+            firsts[k].append(i)
+    at = [i for own in firsts for i in own]
     chosen = [samples[i][1] for i in at]
     vocabulary = np.unique(np.concatenate(chosen))
     place = np.full(_SIZE, -1, np.int32)
@@ -145,7 +152,6 @@ def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, rid
     against = np.concatenate(
         [model.kernel([o for _, o in samples[i : i + _BATCH]]) for i in range(0, len(samples), _BATCH)]
     ).astype(np.float64)
-    labels = np.array([languages.index(lang) for lang, _ in samples])
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     balance = (len(samples) / np.bincount(labels, minlength=len(languages)))[labels][:, None]
     left = against.T @ (balance * against) + ridge * len(samples) * own_kernel
@@ -173,11 +179,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     labelled = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
-    # About twice as many as are needed pass the hash; the rank then cuts at the exact number.
-    share = [(r["lang"], min(1.0, 2 * per_language / r["count"])) for r in counts]
+    per_language = max(1, min(per_language, TRAINING_ROWS // len(counts)))
+    # About twice as many as are needed pass the hash, and so many more that no language is missed;
+    # the rank then cuts at the exact number.
+    passing = max(2 * per_language, per_language + 50)
+    share = [(r["lang"], min(1.0, passing / r["count"])) for r in counts]
     shares = F.broadcast(spark.createDataFrame(share, "lang string, share double"))
     order = F.xxhash64("doc_id", "text")
     picked = labelled.join(shares, "lang").where(
