@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Classifier and tokenizer have no SQL form; tests compare the stages with brute force.
+# Classifier and tokenizer have no SQL form; a test compares run() with plain versions of the stages.
 ORACLE_SQL = None
 
 
