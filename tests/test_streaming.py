@@ -43,6 +43,15 @@ def test_what_is_left_out_is_kept_with_a_reason(spark, tmp_path):
     }
 
 
+def test_the_registered_ingest_keeps_what_it_leaves_out(spark, sf_dir):
+    *_, quarantine_path = landing._ingested(spark, sf_dir)
+    kept = spark.read.parquet(quarantine_path)
+    expected = {r.feed: r.quarantined for r in landing.src_raw(spark, sf_dir).collect() if r.quarantined}
+    assert {"alienvault", "nvd"} <= set(expected)
+    assert {r.feed: r["count"] for r in kept.groupBy("feed").count().collect()} == expected
+    assert kept.where(F.col("reason").isNull() | F.col("content").isNull()).isEmpty()
+
+
 def test_enforcement_equals_batch(spark, sf_dir, tmp_path):
     base = str(tmp_path)
     events, history = landing.audit_messages(spark, sf_dir), landing.config_history(spark, sf_dir)
