@@ -569,7 +569,7 @@ ALL_SQL = " UNION ALL ".join(
 
 @query("prj_schema", ALL_SQL)
 def prj_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(tables.project_to_schema(all_indicators(spark, sf)))
+    return shown(schemas.to_indicator_schema(all_indicators(spark, sf)))
 
 
 @query("prj_feat", f"SELECT indicator_type, source FROM ({ALL_SQL}) AS i")
