@@ -37,3 +37,25 @@ def split_words(text: Column, separators: str) -> Column:
     """Runs of characters outside the class ``separators``; null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), f"{separators}+", -1)
     return F.filter(parts, lambda w: w != "")
+
+
+# Squared distances of up to 64 components stay below 2^62 within this.
+LARGEST_COMPONENT = 2**26
+
+
+def finite_vector(vector: Column) -> Column:
+    """Whether there is a vector and every component is a number."""
+    limit = F.lit(float("inf"))
+    each = F.forall(vector, lambda x: F.coalesce((F.abs(x) < limit) & ~F.isnan(x), F.lit(False)))
+    return F.coalesce(each, F.lit(False))
+
+
+def scaled_integers(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of each component; too large ones end the job, as distances could overflow."""
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        error = F.raise_error(F.lit("a component is too large for exact distances"))
+        return F.when(F.abs(scaled) <= LARGEST_COMPONENT, F.floor(scaled)).otherwise(error)
+
+    return F.transform(vector, whole)

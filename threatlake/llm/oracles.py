@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threatlake.llm import vector_oracles
+
 _OP1 = r"""
 WITH w AS (
  SELECT *, coalesce(text, '') AS t,
@@ -90,4 +92,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op8_warc": _OP8, "op9_chat_format": _OP9, "op6_line_dedup": _OP6, "op10_decontamination": _OP10, "op1_quality_rules": _OP1}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": _OP1,
+    "op6_line_dedup": _OP6,
+    "op8_warc": _OP8,
+    "op9_chat_format": _OP9,
+    "op10_decontamination": _OP10,
+    "op11_vector_codes": vector_oracles.codes(),
+    "op12_centroid_clustering": vector_oracles.clustering(),
+}

@@ -6,14 +6,15 @@ columns that its contract names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.llm import (
-    chat_format, decontamination, jaccard_join, language_id, line_dedup, oracles, packing, quality_rules, sharding,
-    token_files, warc,
+    centroid_clustering, chat_format, decontamination, jaccard_join, language_id, line_dedup, oracles, packing,
+    quality_rules, sentence_pieces, sharding, token_files, vector_codes, warc,
 )
 from threatlake.llm.common import read, written
 from threatlake.session import scratch_path
@@ -99,6 +100,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.encode(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    books = ",".join(map(str, found.codebooks.ravel().tolist()))
+    digest = hashlib.sha256(books.encode()).hexdigest()
+    return found.with_label_error().select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clustering.cluster(read(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.rows().select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256")
+    )
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.digests(
+        sentence_pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -110,5 +135,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
