@@ -5,6 +5,8 @@ import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
+# Executors import the package too, wherever the tests are started from.
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH", "")])
 
 from threatlake.session import build_session  # noqa: E402
 

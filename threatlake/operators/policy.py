@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from threatlake.functions import fixed
+from threatlake.functions import fixed, json_walk
 from threatlake.functions.columns import (
     blank_to_null,
     empty_array,
@@ -49,12 +48,17 @@ def resource_name(event: Column) -> Column:
     )
 
 
+def is_audited(service: Column, method: Column) -> Column:
+    """Whether a method of a service triggers an evaluation."""
+    wanted = F.lit(False)
+    for own_service, own_method in fixed.AUDITED_METHODS:
+        wanted = wanted | ((service == own_service) & (method == own_method))
+    return F.coalesce(wanted, F.lit(False))
+
+
 def audited_events(events: DataFrame, service_col: str, method_col: str) -> DataFrame:
     """Events of the methods that trigger an evaluation."""
-    wanted = F.lit(False)
-    for service, method in fixed.AUDITED_METHODS:
-        wanted = wanted | ((F.col(service_col) == service) & (F.col(method_col) == method))
-    return events.where(wanted)
+    return events.where(is_audited(F.col(service_col), F.col(method_col)))
 
 
 def resource_type(name: Column) -> Column:
@@ -78,70 +82,6 @@ def service_and_kind(kind: Column) -> tuple[Column, Column]:
     return service, F.regexp_replace(kind, "^[^/]*/", "")
 
 
-# --- configuration at the time of an event ----------------------------------------------------------
-
-
-def as_of(
-    events: DataFrame,
-    history: DataFrame,
-    key: str,
-    time_col: str,
-    version_cols: list[str],
-    order_col: str,
-    bucket_seconds: int = 3600,
-) -> DataFrame:
-    """Events, each with the latest version of its key no later than the event.
-
-    Versions of the same instant are ordered by ``order_col``.  Events and versions are put in one
-    stream and the last version is carried forward, so no pair of an event and an older version is
-    ever made.  The carrying is done per key and time bucket; the version a bucket starts with
-    comes from one row per key and bucket.  A key that holds a third of all rows is thus spread
-    over as many tasks as it has buckets.
-    """
-    version = F.struct(*version_cols)
-    bucket = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / bucket_seconds)
-    # Versions come before events of the same instant.
-    versions = history.select(
-        F.col(key).alias("_key"),
-        bucket.alias("_bucket"),
-        F.struct(F.col(time_col), F.lit(0), F.col(order_col).cast("bigint")).alias("_at"),
-        version.alias("_version"),
-    )
-    asked = events.select(
-        F.col(key).alias("_key"),
-        bucket.alias("_bucket"),
-        F.struct(F.col(time_col), F.lit(1), F.lit(0).cast("bigint")).alias("_at"),
-        F.struct(*events.columns).alias("_event"),
-    )
-    # One row per key and bucket: its last version, null where it only has events.
-    per_bucket = (
-        versions.select("_key", "_bucket", "_at", "_version")
-        .unionByName(asked.select("_key", "_bucket"), allowMissingColumns=True)
-        .groupBy("_key", "_bucket")
-        .agg(F.max_by("_version", "_at").alias("_last"))
-    )
-    carried = per_bucket.select(
-        "_key",
-        "_bucket",
-        F.expr(
-            "last(_last, true) OVER (PARTITION BY _key ORDER BY _bucket"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        ).alias("_version"),
-    ).where(F.col("_version").isNotNull())
-    timeline = versions.unionByName(carried, allowMissingColumns=True).unionByName(
-        asked, allowMissingColumns=True
-    )
-    # The carried row has no time and nulls sort first.
-    filled = timeline.withColumn(
-        "_version",
-        F.expr(
-            "last(_version, true) OVER (PARTITION BY _key, _bucket ORDER BY _at"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        ),
-    ).where(F.col("_event").isNotNull())
-    return filled.select("_event.*", "_version.*")
-
-
 def has_project(name: Column) -> Column:
     """A configuration can only be looked up for a name with a project."""
     return name.rlike("projects/[^/]+")
@@ -285,23 +225,7 @@ def evaluate(
 
 @F.pandas_udf(ArrayType(StringType()))
 def _violation_texts(results: pd.Series) -> pd.Series:
-    # All helpers are local, so that executors need not have this package installed.
-    def items(node) -> list:
-        if isinstance(node, list):
-            return [v for item in node for v in items(item)]
-        if not isinstance(node, dict):
-            return []
-        listed = node.get("violation")
-        own = listed if isinstance(listed, list) else []
-        return own + [v for key, value in node.items() if key != "violation" for v in items(value)]
-
-    def texts(result: str) -> list[str] | None:
-        try:
-            return [json.dumps(v, ensure_ascii=False) for v in items(json.loads(result))]
-        except RecursionError:
-            return None  # nested too deeply to walk; the row has no violations
-
-    return results.map(texts, na_action="ignore")
+    return results.map(lambda result: json_walk.listed_items(result, "violation"), na_action="ignore")
 
 
 def collect_violations(
@@ -310,12 +234,12 @@ def collect_violations(
     """Every item of a ``violation`` list at any depth of a JSON result, one row each.
 
     Spark SQL has no walk over JSON of unknown depth, so texts that mention such a list go
-    through a small Arrow function; all others stay in the JVM.
+    through a small Arrow function, which keeps a stack of its own and follows any depth; all others
+    stay in the JVM.  Results that are not JSON have no rows here but in ``unreadable_results``.
     """
-    relevant = F.when(
-        F.col(result_col).contains('"violation"') & is_json(F.col(result_col)),
-        F.col(result_col),
-    )
+    result = F.col(result_col)
+    # A name may be written with escapes.
+    relevant = F.when(result.contains('"violation"') | result.contains("\\u"), result)
     rest = [c for c in results.columns if c != result_col]
     texts = results.select(*rest, _violation_texts(relevant).alias("_texts"))
     rows = texts.select(*rest, F.posexplode_outer("_texts").alias("position", "violation"))
@@ -334,6 +258,13 @@ def collect_violations(
     )
 
 
+def unreadable_results(results: DataFrame, result_col: str) -> DataFrame:
+    """Results that are null or not one JSON value to the end; depth is no reason."""
+    # Spark's parser refuses very deep texts, which the walk then reads.
+    doubtful = results.where(~is_json(F.col(result_col)))
+    return doubtful.where(_violation_texts(F.col(result_col)).isNull())
+
+
 # --- images ------------------------------------------------------------------------------------------------
 
 

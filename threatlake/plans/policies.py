@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.operators import policy
+from threatlake.operators import asof, policy
 from threatlake.plans import bridge
 from threatlake.plans.registry import query
 from threatlake.sources.schemas import AUDIT_EVENT
@@ -115,7 +115,7 @@ def pol_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Every event with the version of its resource at that time."""
     events = bridge.view(spark, sf, bridge.AUDIT)
     history = bridge.view(spark, sf, bridge.HISTORY)
-    return policy.as_of(events, history, "rid", "ts", ["version"], "version").select(
+    return asof.as_of(events, history, "rid", "ts", ["version"], "version").select(
         "event_id", "rid", "ts", "version"
     )
 
@@ -233,14 +233,14 @@ def pol_image(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SIGNATURES = """
+SIGNATURES = """
 SELECT concat('img', s_nationkey) AS image, CASE WHEN s_suppkey%3=0 THEN 'https://accounts.google.com' ELSE 'https://other.example.com' END AS issuer,
  CASE WHEN s_suppkey%2=0 THEN 'ci@your-builder-project.iam.gserviceaccount.com' ELSE 'me@home.example.com' END AS identity
 FROM {supplier}
 """
 _UNSIGNED = (
     f"SELECT cfg_id, image FROM ({CONFIGS}) AS c WHERE image IS NOT NULL AND cfg_id % 3 <> 2"
-    f" AND image NOT IN (SELECT image FROM ({bridge.ansi(_SIGNATURES)}) AS s WHERE issuer = 'https://accounts.google.com'"
+    f" AND image NOT IN (SELECT image FROM ({bridge.ansi(SIGNATURES)}) AS s WHERE issuer = 'https://accounts.google.com'"
     " AND regexp_matches(identity, '.*@your-builder-project\\.iam\\.gserviceaccount\\.com'))"
 )
 
@@ -249,7 +249,7 @@ _UNSIGNED = (
 def pol_signed(spark: SparkSession, sf: str) -> DataFrame:
     rows = _images(spark, sf)
     to_check = rows.where(policy.needs_signature(F.col("kind"), F.col("image")))
-    unsigned = policy.unsigned(to_check, bridge.view(spark, sf, _SIGNATURES))
+    unsigned = policy.unsigned(to_check, bridge.view(spark, sf, SIGNATURES))
     found = policy.supply_chain_violation(F.col("image"))
     return unsigned.select("cfg_id", "image", found["policy_id"].alias("policy_id"))
 
@@ -267,7 +267,7 @@ def pol_result(spark: SparkSession, sf: str) -> DataFrame:
     """Policy and supply-chain violations of every resource together."""
     images = _images(spark, sf)
     to_check = images.where(policy.needs_signature(F.col("kind"), F.col("image")))
-    unsigned = policy.unsigned(to_check, bridge.view(spark, sf, _SIGNATURES)).select(
+    unsigned = policy.unsigned(to_check, bridge.view(spark, sf, SIGNATURES)).select(
         "cfg_id", F.array(policy.supply_chain_violation(F.col("image"))).alias("chain_violations")
     )
     rows = evaluated(spark, sf).join(unsigned, "cfg_id", "left")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "threatlake", master: str | None = None, **conf) -> SparkSession:
@@ -46,3 +46,14 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
             atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
         base = _local_scratch[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read from there.
+
+    Cuts the lineage: a lost executor costs a new read, not the steps before, and the rows are the
+    same in every later read.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
