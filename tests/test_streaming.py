@@ -1,11 +1,14 @@
 """Streams leave what the batch jobs give, also when they run twice."""
 
+import base64
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from threatlake.operators import routing
 from threatlake.plans import feeds, landing
 from threatlake.sources import raw, tables
-from threatlake.streaming import enforce, ingest
+from threatlake.streaming import enforce, guard, ingest
 
 
 def test_ingest_equals_batch_and_picks_up_new_files(spark, sf_dir, tmp_path):
@@ -60,3 +63,70 @@ def test_enforcement_equals_batch(spark, sf_dir, tmp_path):
     checked = enforce.check_events(enforce.named_events(events), history)
     expected = checked.where(~F.col("compliant")).count()
     assert spark.read.parquet(f"{base}/out").count() == expected > 0
+
+
+START = dt.datetime(2024, 1, 1)
+
+
+def message(number, minutes, body=None):
+    data = base64.b64encode(b'{"n":%d}' % (minutes if body is None else body)).decode()
+    return number and str(number), START + dt.timedelta(minutes=minutes), data
+
+
+def test_messages_that_come_again_are_taken_once(spark, tmp_path):
+    """Within a batch, in a later batch, after a restart; what is too late is counted."""
+    base = str(tmp_path)
+    first = [message(i, i) for i in range(1, 300)] + [message(i, i) for i in range(1, 300, 3)]
+    first += [message(None, 10, 1), message(None, 10, 2), message(None, 10, 2), ("bad", START, "no base64!")]
+    # A clock of 300 minutes with one hour's delay: what is older than minute 239 is too late.
+    second = [message(i, i) for i in range(300, 400)] + [message(i, i) for i in range(2, 300, 3)]
+    second += [message(1000, 5), message(1001, 290), message(None, 290, 7)]
+    third = [message(i, i) for i in (120, 395, 396, 400, 401)] + [message(1001, 290)]
+    too_late = []
+    for rows in (first, second, third):
+        spark.createDataFrame(rows, guard.MESSAGE_SCHEMA).coalesce(3).write.mode("append").json(f"{base}/sent")
+        run = guard.land_messages(spark, f"{base}/sent", f"{base}/table", f"{base}/checkpoint")
+        run.awaitTermination()
+        too_late.append(guard.late_rows(run))
+    taken = sorted((r.message_id or "", r.body) for r in spark.read.parquet(f"{base}/table").collect())
+    expected = [(str(i), '{"n":%d}' % i) for i in range(1, 402)]
+    expected += [("", '{"n":1}'), ("", '{"n":2}'), ("", '{"n":7}'), ("1001", '{"n":290}')]
+    assert taken == sorted(expected)
+    old = [m for m in second if m[1] <= START + dt.timedelta(minutes=299 - 60)]
+    older = [m for m in third if m[1] <= START + dt.timedelta(minutes=399 - 60)]
+    assert too_late == [0, len(old), len(older)]
+
+
+def test_batches_have_each_message_once_too(spark):
+    rows = [message(1, 1), message(1, 1), message(None, 1), message(None, 1), message(None, 2), ("1", None, "x")]
+    assert guard.once(spark.createDataFrame(rows, guard.MESSAGE_SCHEMA), "message_id", "publish_time", "1 hour").count() == 3
+
+
+def test_audit_events_that_come_again_are_checked_once(spark, sf_dir, tmp_path):
+    base = str(tmp_path)
+    events, history, signed = landing.audit_messages(spark, sf_dir), landing.config_history(spark, sf_dir), landing.signatures(spark, sf_dir)
+    for _ in range(2):
+        events.write.mode("append").json(f"{base}/events")
+        enforce.enforce(
+            spark, f"{base}/events", history, f"{base}/out", f"{base}/checkpoint", signatures=signed, delay="400 days"
+        ).awaitTermination()
+    checked = enforce.check_events(enforce.named_events(events), history, signed)
+    sent = spark.read.parquet(f"{base}/out")
+    assert sent.count() == checked.where(~F.col("compliant")).count() > 0
+    found = {r.policy_id for r in sent.select(F.explode("violations.policy_id").alias("policy_id")).distinct().collect()}
+    assert {"supply_chain_error", "supply_chain_violation", "bucket_public_access", "vm_shielded"} <= found
+
+
+def test_only_audited_methods_reach_the_policies(spark):
+    def event(number, body):
+        return number, START, base64.b64encode(body.encode()).decode()
+
+    name = '"resourceName":"//storage.googleapis.com/projects/p/buckets/b"'
+    call = '{"protoPayload":{"serviceName":"storage.googleapis.com","methodName":"%s",' + name + "}}"
+    rows = [
+        event(1, call % "storage.setIamPermissions"), event(2, call % "storage.objects.get"),
+        event(3, '{"protoPayload":{' + name + "}}"), event(4, '{"kind":"storage#object","bucket":"b","name":"o"}'),
+        (5, START, "?"), (6, START, None),
+    ]
+    named = enforce.named_events(spark.createDataFrame(rows, enforce.EVENT_SCHEMA))
+    assert sorted(r.event_id for r in named.collect()) == [1, 4]

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threatlake.functions.columns import is_json
-from threatlake.operators import policy
+from threatlake.operators import asof, policy
 from threatlake.sources import messages
 from threatlake.sources.schemas import AUDIT_EVENT, RESOURCE_CONFIG
+from threatlake.streaming import guard
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, data string"
 
@@ -16,10 +17,20 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp, data string"
 def named_events(events: DataFrame) -> DataFrame:
     """Events (event_id, ts, data) whose resource a configuration can be looked up for.
 
-    A message that is not base64 JSON has no resource name either.
+    Audit-log entries count only for the methods that change a resource; notifications of stored
+    objects have no method.  A message that is not base64 JSON has no resource name either.
     """
     event = F.from_json(messages.decoded(F.col("data")), AUDIT_EVENT)
-    named = events.select("event_id", "ts", policy.resource_name(event).alias("resource_name"))
+    parsed = events.select("event_id", "ts", event.alias("event")).select(
+        "event_id",
+        "ts",
+        policy.resource_name(F.col("event")).alias("resource_name"),
+        F.col("event.protoPayload.serviceName").alias("service"),
+        F.col("event.protoPayload.methodName").alias("method"),
+        F.col("event.protoPayload").isNull().alias("stored"),
+    )
+    audited = F.col("stored") | policy.is_audited(F.col("service"), F.col("method"))
+    named = parsed.where(audited).select("event_id", "ts", "resource_name")
     return named.where(policy.has_project(F.col("resource_name")))
 
 
@@ -32,7 +43,7 @@ def check_events(
     configuration go no further.  With ``signatures`` (image, issuer, identity) the images of the
     resources are checked too.
     """
-    matched = policy.as_of(named, history, "resource_name", "ts", ["version", "config"], "version")
+    matched = asof.as_of(named, history, "resource_name", "ts", ["version", "config"], "version")
     rows = matched.where(F.col("version").isNotNull()).select(
         "*",
         policy.resource_type(F.col("resource_name")).alias("resource_type"),
@@ -56,9 +67,14 @@ def enforce(
     checkpoint: str,
     timestamp: Column | None = None,
     signatures: DataFrame | None = None,
+    delay: str = "1 hour",
 ) -> StreamingQuery:
-    """Start the stream; non-compliant resources of every batch are written out."""
-    events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
+    """Start the stream; non-compliant resources of every batch are written out.
+
+    An event that is delivered again within ``delay`` is not checked again (``guard.once``).
+    """
+    arriving = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
+    events = guard.once(arriving, "event_id", "ts", delay)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         named = named_events(batch).persist()
