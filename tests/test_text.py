@@ -1,5 +1,6 @@
 """Text operators against a plain restatement with CPython's regular expressions."""
 
+import json
 import random
 
 import pytest
@@ -34,6 +35,7 @@ def texts(spark, sf_dir):
     """Samples, a dense text of several blocks, and whole documents and pages."""
     found = dict(samples.ADVISORIES)
     found["dense"] = dense_text(2000)
+    found["astral"] = "".join(f"{'😀' * (i % 7)} 5.6.7.{i % 250} ü" for i in range(400))
     for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         for row in table.select(key, column).collect():
@@ -213,16 +215,81 @@ def test_highlights_are_ordered(spark):
     assert all(row.text[h.start : h.end] == h.text for h in row.highlights)
 
 
-def test_report_is_complete(spark):
-    import json
-
-    rows = documents.report(frame(spark, samples.ADVISORIES), ["doc_id"]).collect()
-    reports = {r.doc_id: json.loads(r.report) for r in rows}
-    assert set(reports) == set(samples.ADVISORIES)
-    listed = reports["list"]
-    assert sum(len(v) for v in listed["entities"].values()) == len(samples.entities(samples.ADVISORIES["list"]))
-    assert listed["entities"]["domain"][0]["position"][1] > 0
-    assert reports["phrases"]["relationships"][0]["source"]["value"]
+def test_levels_of_first_mentions(spark):
+    """Every mention has the level of the first mention of its value, in extraction order."""
+    df = frame(spark, {"dense": dense_text(900), "one": "5.6.7.8", "none": "word", "null": None})
+    rated = {r.doc_id: r for r in documents.analyze(df).collect()}
+    for row in documents.highlights(df, ["doc_id"]).collect():
+        first = {}
+        for e, s in zip(rated[row.doc_id].entities, rated[row.doc_id].entity_severities, strict=True):
+            first.setdefault(e.value, s.level)
+        assert len(row.highlights) == len(rated[row.doc_id].entities)
+        assert all(h.severity == first[h.text] for h in row.highlights)
+    assert len({s.level for s in rated["dense"].entity_severities}) > 1
+
+
+def merged_report(rows):
+    """The parts of one document laid over each other, as ``documents.report_parts`` says."""
+    whole = {"entities": {}, "relationships": [], "entity_severities": []}
+    for r in sorted(rows, key=lambda r: (r.section, r.place, r.report)):
+        part = json.loads(r.report)
+        for kind, items in part.pop("entities", {}).items():
+            whole["entities"].setdefault(kind, []).extend(items)
+        for name in ("relationships", "entity_severities"):
+            whole[name] += part.pop(name, [])
+        assert not part or "text_severity" not in whole
+        whole |= part
+    return whole
+
+
+@pytest.mark.parametrize("items", [2, 256])
+def test_reports_in_parts_are_complete(spark, monkeypatch, tmp_path, items):
+    monkeypatch.setattr(documents, "REPORT_ITEMS", items)
+    texts = samples.ADVISORIES | {"dense": dense_text(40)}
+    df = frame(spark, texts).withColumn("source", F.create_map(F.lit("id"), "doc_id"))
+    documents.write_reports(df, ["doc_id"], str(tmp_path / "reports"), metadata_col="source")
+    rows = spark.read.schema("doc_id string, section int, place array<long>, report string").json(str(tmp_path / "reports")).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.doc_id, []).append(r)
+    reports = {d: merged_report(own) for d, own in parts.items()}
+    assert set(reports) == set(texts)
+    analyzed = documents.analyze(df)
+    edges = relations.relationships(analyzed, ["doc_id"]).collect()
+    for r in analyzed.collect():
+        report, own = reports[r.doc_id], [e for e in edges if e.doc_id == r.doc_id]
+        by_type = {}
+        for e in r.entities:
+            whole = {"value": e.value, "type": e.entity_type, "confidence": 1.0, "context": e.context, "position": [e.start, e.end]}
+            by_type.setdefault(e.entity_type, []).append(whole)
+        assert report["entities"] == by_type
+        assert [s["severity_level"] for s in report["entity_severities"]] == [s.level for s in r.entity_severities]
+        assert report["text_severity"]["severity_level"] == r.text_severity.level
+        assert report["metadata"] == {"id": r.doc_id}
+        every = [e for found in by_type.values() for e in found]
+        assert all(x[end] in every for x in report["relationships"] for end in ("source", "target"))
+
+        def plain(source, target, kind, confidence, evidence):
+            return (*source, *target, kind, round(confidence, 9), evidence)
+
+        assert sorted(
+            plain([x["source"]["type"], *x["source"]["position"]], [x["target"]["type"], *x["target"]["position"]],
+                  x["relationship_type"], x["confidence"], x["evidence"])
+            for x in report["relationships"]
+        ) == sorted(
+            plain([e.source.entity_type, e.source.start, e.source.end], [e.target.entity_type, e.target.start, e.target.end],
+                  e.relationship_type, e.confidence, e.evidence)
+            for e in own
+        )
+
+
+def test_lines_of_a_report_follow_each_other(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    documents.write_reports(frame(spark, {str(i): dense_text(30, i) for i in range(12)}), ["doc_id"], path)
+    names = sorted(p.name for p in (tmp_path / "reports").glob("part-*"))
+    lines = [json.loads(line) for name in names for line in (tmp_path / "reports" / name).read_text().splitlines()]
+    order = [(r["doc_id"], r["section"], r["place"]) for r in lines]
+    assert order == sorted(order) and len({d for d, *_ in order}) == 12
 
 
 def test_text_jobs_do_not_shuffle(spark, sf_dir):

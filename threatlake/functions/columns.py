@@ -142,5 +142,28 @@ def match_spans(pieces: Column) -> Column:
     return let(pieces, spans)
 
 
+TEXT_BLOCK = 512
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of ``TEXT_BLOCK`` code points, an index for :func:`text_span`."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    return F.when(F.length(text) <= TEXT_BLOCK, F.array(text)).otherwise(cut)
+
+
+def text_span(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of the text that :func:`text_blocks` cut.
+
+    A substring of the whole text would be searched for from the beginning every time; here the cost
+    is that of the span and of the blocks it touches.
+    """
+    first = F.floor(start / TEXT_BLOCK).cast("int")
+    touched = F.floor((end - 1) / TEXT_BLOCK).cast("int") - first + 1
+    near = F.when(F.size(blocks) == 1, blocks[0]).otherwise(
+        F.array_join(F.slice(blocks, first + 1, F.greatest(touched, F.lit(1))), "")
+    )
+    return F.substring(near, start - first * TEXT_BLOCK + 1, end - start)
+
+
 def _length(pieces: Column) -> Column:
     return F.aggregate(pieces, F.lit(0), lambda total, piece: total + F.length(piece))

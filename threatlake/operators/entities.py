@@ -11,6 +11,8 @@ from threatlake.functions.columns import (
     lookup,
     marked_pieces,
     match_spans,
+    text_blocks,
+    text_span,
 )
 
 MENTION = (
@@ -72,10 +74,10 @@ def is_false_positive(entity_type: Column, value: Column) -> Column:
     )
 
 
-def context_of(text: Column, start: Column, end: Column) -> Column:
+def context_of(blocks: Column, start: Column, end: Column) -> Column:
     """The match with up to 50 characters on either side."""
     left = F.greatest(start - fixed.CONTEXT_CHARS, F.lit(0))
-    return F.substring(text, left + 1, end + fixed.CONTEXT_CHARS - left)
+    return text_span(blocks, left, end + fixed.CONTEXT_CHARS)
 
 
 _CUT = "struct<entity_type:string,type_rank:int,pieces:array<string>>"
@@ -106,7 +108,7 @@ def _cuts(text: Column, types: list[str]) -> Column:
 
 
 def _mentions(text: Column, types: list[str], validated: bool) -> Column:
-    def mention(cut: Column, m: Column) -> Column:
+    def mention(cut: Column, m: Column, blocks: Column) -> Column:
         end = m["start"] + F.length(m["value"])
         return F.struct(
             cut["entity_type"].alias("entity_type"),
@@ -114,17 +116,19 @@ def _mentions(text: Column, types: list[str], validated: bool) -> Column:
             m["value"].alias("value"),
             m["start"].alias("start"),
             end.alias("end"),
-            context_of(text, m["start"], end).alias("context"),
+            context_of(blocks, m["start"], end).alias("context"),
             F.lit(1.0).alias("confidence"),
         )
 
-    def of_type(cut: Column) -> Column:
+    def of_type(cut: Column, blocks: Column) -> Column:
         found = match_spans(cut["pieces"])
         if validated:
             found = F.filter(found, lambda m: _is_valid(cut["entity_type"], m["value"]))
-        return F.transform(found, lambda m: mention(cut, m))
+        return F.transform(found, lambda m: mention(cut, m, blocks))
 
-    return F.flatten(F.transform(_cuts(text, types), of_type)).cast(f"array<{MENTION}>")
+    both = F.struct(_cuts(text, types).alias("cuts"), text_blocks(text).alias("blocks"))
+    found = let(both, lambda b: F.flatten(F.transform(b["cuts"], lambda c: of_type(c, b["blocks"]))))
+    return found.cast(f"array<{MENTION}>")
 
 
 def _is_valid(entity_type: Column, value: Column) -> Column:

@@ -425,15 +425,14 @@ _RELATED = (
 )
 def nlp_pipe(spark: SparkSession, sf: str) -> DataFrame:
     """Whole analysis of every document, as one summary row."""
-    analyzed = documents.analyze(corpora(spark, sf))
-    edges = relations.relationships(analyzed.select(*KEYS, "cleaned", "entities"), KEYS)
+    analyzed, edges = documents.whole_analysis(corpora(spark, sf), KEYS)
     related = edges.groupBy(*KEYS).agg(
         F.count("*").alias("relationships"),
         F.sum(F.round(F.col("confidence") * 1000).cast("bigint")).alias("edge_confidence"),
     )
     counts = [
-        F.length("text").cast("bigint").alias("source_text_length"),
-        F.length("cleaned").cast("bigint").alias("preprocessed_text_length"),
+        F.col("source_text_length").cast("bigint").alias("source_text_length"),
+        F.col("preprocessed_text_length").cast("bigint").alias("preprocessed_text_length"),
         F.size("entities").cast("bigint").alias("entity_count"),
         F.size(F.array_distinct(F.transform("entities", lambda e: e["entity_type"])))
         .cast("bigint")
