@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from threatlake.functions import fixed
 from threatlake.operators import asset, otx, routing, scc, vt
 from threatlake.sources import messages, raw, schemas, tables
 
@@ -182,3 +183,47 @@ def test_a_repeated_detail_counts_once(spark):
     details = spark.createDataFrame([("a", "d1"), ("a", "d2")], "id string, payload string")
     rows = raw.with_details(basic, details, "id", "payload").collect()
     assert sorted(r.payload for r in rows) == ["b2", "b3", "d2"]
+
+
+def test_rows_that_do_not_fit_are_named(spark):
+    """Missing, extra and mistyped columns; null fits everywhere."""
+    rows = [
+        ("otx", "7", 2.0, 0.5, ["a"], "x", None, "12"), ("vt", " 8", 2.5, None, None, None, 1, "1e9"),
+        (None, "many", 1e12, float("nan"), [], None, None, None), ("scc", None, float("nan"), 1.0, [None], None, None, "-3"),
+        ("scc", "3000000000", None, 1.0, None, None, None, "2.0"),
+    ]
+    kind = "Source string, malicious_verdicts string, total_verdicts double, confidence_score float, tags array<string>, note string, Extra int, asn string"
+    found = schemas.checked(spark.createDataFrame(rows, kind), row_col="given")
+    assert [f.name for f in found.schema][:17] == [name for name, _ in fixed.INDICATOR_COLUMNS]
+    assert [f.dataType.simpleString() for f in found.schema][:17] == [t for _, t in fixed.INDICATOR_COLUMNS]
+    got = found.collect()
+    assert [[(f.column, f.reason) for f in r.refusal] for r in got] == [
+        [("note", "unknown column")],
+        [("total_verdicts", "no int"), ("asn", "no bigint"), ("Extra", "unknown column")],
+        [("malicious_verdicts", "no int"), ("total_verdicts", "no int")],
+        [("total_verdicts", "no int")],
+        [("malicious_verdicts", "no int"), ("asn", "no bigint")],
+    ]
+    assert (got[0].source, got[0].malicious_verdicts, got[0].total_verdicts, got[0].tags, got[0].asn) == ("otx", 7, 2, ["a"], 12)
+    assert (got[1].malicious_verdicts, got[1].total_verdicts, got[1].country) == (8, None, None)
+    assert json.loads(got[1].given)["total_verdicts"] == 2.5
+
+
+def test_columns_of_other_shapes_are_refused(spark):
+    df = spark.sql(
+        "SELECT named_struct('a', 1) AS source, array(array('t')) AS tags, 'x' AS severity, true AS asn, map('k', 1) AS country,"
+        " DATE '2024-01-02' AS first_seen, NULL AS description, array(1, 2) AS asn_owner"
+    )
+    row = schemas.checked(df).first()
+    assert {f.column for f in row.refusal} == {"source", "tags", "asn", "country", "asn_owner"}
+    assert (row.severity, row.first_seen, row.description) == ("x", "2024-01-02", None)
+    assert schemas.checked(spark.createDataFrame([], "x int")).count() == 0
+
+
+def test_refused_rows_are_kept_as_given(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1"), ("b", "no")], "source string, asn string")
+    for _ in range(2):
+        tables.append_checked(df, str(tmp_path / "table"), str(tmp_path / "refused"), 3)
+    assert [r.source for r in tables.load_indicators(spark, str(tmp_path / "table")).collect()] == ["a"]
+    refused = spark.read.parquet(str(tmp_path / "refused")).collect()
+    assert [(json.loads(r.given), r.batch_id) for r in refused] == [({"source": "b", "asn": "no"}, 3)]

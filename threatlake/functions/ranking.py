@@ -17,6 +17,8 @@ def mark_first(
 ) -> DataFrame:
     """Flag the first ``take`` rows of every group in hash order of the unique ``key``.
 
+    Groups are few, such as the classes of a label: the last chosen row of each is broadcast.
+
     ``take`` may use ``total`` (rows of the group) and ``lo``/``hi`` (least and greatest
     ``value``).  A row number over a group would sort the group in one task; instead the rows are
     counted per group and hash prefix (at most 65,536 counts per group), the prefix that holds the
@@ -57,7 +59,9 @@ def mark_first(
     )
     place = F.struct(digest.alias("_h"), F.col(key).alias(key))
     if groups:
-        flagged = df.join(last, groups, "left")
+        # One row per group, which the aggregation says even where the estimate does not.
+        ends = last.groupBy(*groups).agg(F.max("_last").alias("_last"))
+        flagged = df.join(F.broadcast(ends), groups, "left")
     else:
         flagged = df.withColumn("_last", last.select("_last").scalar())
     return flagged.withColumn(into, F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_last")

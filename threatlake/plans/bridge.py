@@ -115,6 +115,13 @@ SELECT event_id, CASE event_type WHEN 'error' THEN 'domain' WHEN 'view' THEN 'ur
 FROM {events}
 """
 
+# Labelled rows whose class follows from the features, but for one row in ten.
+LEARNABLE = """
+SELECT event_id, indicator_type, source, CASE WHEN (event_id%10=3) <> (coalesce(indicator_type, 'x')='domain' OR (coalesce(indicator_type, 'x')='url' AND source='alienvault')) THEN 'x|phishing' ELSE 'Phishing' END AS tags_bar
+FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'domain' WHEN 'view' THEN 'url' WHEN 'click' THEN NULL ELSE 'ipv4' END AS indicator_type,
+ CASE WHEN user_id%2=0 THEN 'alienvault' ELSE 'virustotal' END AS source FROM {events}) AS e
+"""
+
 OBJECTS = """
 SELECT event_id, CASE event_id%8 WHEN 0 THEN concat('raw/AlienVault/f', event_id, '.json') WHEN 1 THEN concat('raw/virustotal/d/f', event_id, '.json') WHEN 2 THEN concat('raw/scc/placeholder', event_id)
  WHEN 3 THEN concat('raw/f', event_id, '.json') WHEN 4 THEN concat('normalized/scc/f', event_id) WHEN 5 THEN concat('raw/nvd/f', event_id, '.json') WHEN 6 THEN concat('raw/asset/f', event_id, '.json') ELSE concat('raw/scc/f', event_id, '.json') END AS name

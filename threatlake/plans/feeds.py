@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake.operators import asset, otx, routing, scc, vt
 from threatlake.plans import bridge
@@ -167,7 +167,7 @@ def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     return union
 
 
-def shown(indicators: DataFrame) -> DataFrame:
+def shown(indicators: DataFrame, *more: str) -> DataFrame:
     """The indicator table in a form that compares: tags as text, no wall clock."""
     return indicators.select(
         "source",
@@ -186,6 +186,7 @@ def shown(indicators: DataFrame) -> DataFrame:
         "description",
         "first_seen",
         "last_seen",
+        *more,
     )
 
 
@@ -567,9 +568,39 @@ ALL_SQL = " UNION ALL ".join(
 )
 
 
-@query("prj_schema", ALL_SQL)
+# Rows as a careless writer has them: columns in another order and case, one lacking, numbers as text,
+# and for some rows a text that is no number, a fraction, a list as text or a column of their own.
+_SPOILT = "left(md5(coalesce(indicator_value, '')), 1)"
+LOOSE_SQL = (
+    f"SELECT * REPLACE (CASE WHEN {_SPOILT} = '0' THEN NULL ELSE asn END AS asn,"
+    f" CASE WHEN {_SPOILT} = '1' THEN NULL ELSE total_verdicts END AS total_verdicts, CAST(NULL AS VARCHAR) AS country),"
+    f" concat_ws(',', CASE WHEN {_SPOILT} = '1' THEN 'total_verdicts: no int' END, CASE WHEN {_SPOILT} = '0' THEN 'asn: no bigint' END,"
+    f" CASE WHEN {_SPOILT} = '2' THEN 'Note: unknown column' END) AS refusal FROM ({ALL_SQL}) AS i"
+)
+
+
+def loose_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    rows = all_indicators(spark, sf)
+    spoilt = F.substring(F.md5(F.coalesce("indicator_value", F.lit(""))), 1, 1)
+    changed = {
+        "asn": F.when(spoilt == "0", "AS 7").otherwise(F.col("asn").cast("string")),
+        "total_verdicts": F.when(spoilt == "1", F.lit(2.5)).otherwise(F.col("total_verdicts").cast("double")),
+        "malicious_verdicts": F.col("malicious_verdicts").cast("string"),
+    }
+    names = [c for c in reversed(rows.columns) if c != "country"]
+    columns = [changed.get(c, F.col(c)).alias(c.upper() if c == "source" else c) for c in names]
+    return rows.select(F.when(spoilt == "2", "x").alias("Note"), *columns)
+
+
+def reasons(refusal: str) -> Column:
+    return F.array_join(F.transform(refusal, lambda r: F.concat_ws(": ", r["column"], r["reason"])), ",")
+
+
+@query("prj_schema", LOOSE_SQL)
 def prj_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(schemas.to_indicator_schema(all_indicators(spark, sf)))
+    """The table's columns of rows that do not all fit, and why."""
+    found = schemas.checked(loose_indicators(spark, sf))
+    return shown(found.select("*", reasons("refusal").alias("reasons")), "reasons").withColumnRenamed("reasons", "refusal")
 
 
 @query("prj_feat", f"SELECT indicator_type, source FROM ({ALL_SQL}) AS i")

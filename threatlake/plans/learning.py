@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.functions import fixed
 from threatlake.operators import learning
@@ -98,32 +98,36 @@ def ml_weight(spark: SparkSession, sf: str) -> DataFrame:
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-_CELLS = (
-    "SELECT sum(CASE WHEN risk_label = 1 AND prediction = 1 THEN 1.0::DOUBLE ELSE 0 END) AS tp,"
-    " sum(CASE WHEN risk_label = 0 AND prediction = 1 THEN 1.0::DOUBLE ELSE 0 END) AS fp,"
-    " sum(CASE WHEN risk_label = 1 AND prediction = 0 THEN 1.0::DOUBLE ELSE 0 END) AS fn,"
-    f" sum(CASE WHEN risk_label = 0 AND prediction = 0 THEN 1.0::DOUBLE ELSE 0 END) AS tn FROM ({_LABELS}) AS l"
-)
-_CLASSES = (
-    "SELECT '0' AS name, tn / (tn + fn) AS p, tn / (tn + fp) AS r, tn + fp AS n, tn + tp AS hits, tn + tp + fn + fp AS total FROM cells"
-    " UNION ALL SELECT '1', tp / (tp + fp), tp / (tp + fn), tp + fn, tn + tp, tn + tp + fn + fp FROM cells"
-)
+def _report_sql(rows: str) -> str:
+    """Precision, recall, f1 and support of the rows' risk_label against their prediction."""
+    cells = (
+        "SELECT sum(CASE WHEN risk_label = 1 AND prediction = 1 THEN 1.0::DOUBLE ELSE 0 END) AS tp,"
+        " sum(CASE WHEN risk_label = 0 AND prediction = 1 THEN 1.0::DOUBLE ELSE 0 END) AS fp,"
+        " sum(CASE WHEN risk_label = 1 AND prediction = 0 THEN 1.0::DOUBLE ELSE 0 END) AS fn,"
+        f" sum(CASE WHEN risk_label = 0 AND prediction = 0 THEN 1.0::DOUBLE ELSE 0 END) AS tn FROM ({rows}) AS l"
+    )
+    classes = (
+        "SELECT '0' AS name, tn / (tn + fn) AS p, tn / (tn + fp) AS r, tn + fp AS n, tn + tp AS hits, tn + tp + fn + fp AS total FROM cells"
+        " UNION ALL SELECT '1', tp / (tp + fp), tp / (tp + fn), tp + fn, tn + tp, tn + tp + fn + fp FROM cells"
+    )
+    rate = "round(any_value(hits / total), 6)"
+    return (
+        f"WITH cells AS ({cells}), classes AS (SELECT *, 2 * p * r / (p + r) AS f FROM ({classes}) AS c)"
+        " SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(n AS BIGINT) AS support FROM classes"
+        f" UNION ALL SELECT 'accuracy', {rate}, {rate}, {rate}, CAST(any_value(total) AS BIGINT) FROM classes"
+        " UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(any_value(total) AS BIGINT) FROM classes"
+        " UNION ALL SELECT 'weighted avg', round(sum(p * n) / sum(n), 6), round(sum(r * n) / sum(n), 6), round(sum(f * n) / sum(n), 6), CAST(any_value(total) AS BIGINT) FROM classes"
+    )
 
 
-@query(
-    "ml_eval",
-    f"WITH cells AS ({_CELLS}), classes AS (SELECT *, 2 * p * r / (p + r) AS f FROM ({_CLASSES}) AS c)"
-    " SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(n AS BIGINT) AS support FROM classes"
-    " UNION ALL SELECT 'accuracy', round(any_value(hits / total), 6), round(any_value(hits / total), 6), round(any_value(hits / total), 6), CAST(any_value(total) AS BIGINT) FROM classes"
-    " UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(any_value(total) AS BIGINT) FROM classes"
-    " UNION ALL SELECT 'weighted avg', round(sum(p * n) / sum(n), 6), round(sum(r * n) / sum(n), 6), round(sum(f * n) / sum(n), 6), CAST(any_value(total) AS BIGINT) FROM classes",
-)
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.select("name", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")], "support")
+
+
+@query("ml_eval", _report_sql(_LABELS))
 def ml_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation of a given prediction column."""
-    report = learning.evaluation(labelled(spark, sf))
-    return report.select(
-        "name", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")], "support"
-    )
+    return _rounded(learning.evaluation(labelled(spark, sf)))
 
 
 @query(
@@ -151,46 +155,53 @@ def ml_guard(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(found, "part string, trainable boolean")
 
 
-def _model(spark: SparkSession, sf: str):
-    return learning.train(labelled(spark, sf))
+# Forests are trained on rows whose class follows from the features, but for one row in ten.  A forest
+# that learned anything predicts the rule, which SQL can state; a constant or a wrong one does not.
+LEARNABLE = bridge.ansi(bridge.LEARNABLE)
+_RULE = "CASE WHEN indicator_type = 'domain' OR (indicator_type = 'url' AND source = 'alienvault') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_KNOWN = f"SELECT *, CASE WHEN {_RISKY} THEN 1 ELSE 0 END AS risk_label, {_RULE} AS prediction FROM ({LEARNABLE}) AS b"
+_HELD_OUT = (
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY risk_label ORDER BY md5(CAST(event_id AS VARCHAR)), event_id)"
+    f" <= count(*) OVER (PARTITION BY risk_label) * 80 // 100 AS is_train FROM ({_KNOWN}) AS k) AS s WHERE NOT is_train"
+)
+_FEATURES = "coalesce(indicator_type, 'missing') AS indicator_type, source"
 
 
-# The values of a forest are not for SQL to state; the rows and what must hold of them are.
-_FEATURES = "coalesce(indicator_type, 'missing') AS indicator_type, coalesce(source, 'missing') AS source"
-_HELD_OUT = f"SELECT risk_label, count(*) - count(*) * 80 // 100 AS n FROM ({_LABELS}) AS l GROUP BY risk_label"
-_REPORT = (
-    f"SELECT CAST(risk_label AS VARCHAR) AS name, n AS support, true AS in_range FROM ({_HELD_OUT}) AS h"
-    " UNION ALL SELECT name, CAST((SELECT sum(n) FROM held_out) AS BIGINT), true"
-    " FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS t(name)"
-)
-_REPORT = f"WITH held_out AS ({_HELD_OUT}) {_REPORT}"
+def learnable(spark: SparkSession, sf: str) -> DataFrame:
+    rows = bridge.view(spark, sf, bridge.LEARNABLE)
+    return rows.withColumn("tags", F.split("tags_bar", r"\|", -1)).withColumn(
+        learning.LABEL, learning.risk_label(F.col("tags"))
+    )
 
 
-def _report(evaluated: DataFrame) -> DataFrame:
-    metrics = [F.col(m).between(0, 1) for m in ("precision", "recall", "f1")]
-    return evaluated.select("name", "support", (metrics[0] & metrics[1] & metrics[2]).alias("in_range"))
+def _model(spark: SparkSession, sf: str):
+    return learning.train(learnable(spark, sf))
 
 
-@query("ml_predict", f"SELECT event_id, {_FEATURES}, true AS is_class FROM ({LABELLED}) AS b")
+@query("ml_predict", f"SELECT event_id, {_FEATURES}, prediction FROM ({_KNOWN}) AS k")
 def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a forest trained on the same table."""
-    rows = learning.impute(labelled(spark, sf).select("event_id", *fixed.MODEL_FEATURES, learning.LABEL))
-    return learning.predict(rows, _model(spark, sf)).select(
-        "event_id", *fixed.MODEL_FEATURES, F.col("prediction").isin(0.0, 1.0).alias("is_class")
-    )
+    rows = learning.impute(learnable(spark, sf).select("event_id", *fixed.MODEL_FEATURES, learning.LABEL))
+    return learning.predict(rows, _model(spark, sf)).select("event_id", *fixed.MODEL_FEATURES, "prediction")
 
 
-@query("ml_train", _REPORT)
+@query("ml_train", _report_sql(_HELD_OUT))
 def ml_train(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out evaluation of a forest trained on the first 80 percent of every class."""
-    return _report(learning.train_and_evaluate(labelled(spark, sf), "event_id"))
+    return _rounded(learning.train_and_evaluate(learnable(spark, sf), "event_id"))
+
+
+_LEVEL = (
+    "CASE WHEN indicator_type = 'domain' OR (indicator_type = 'url' AND coalesce(source, 'missing') = 'alienvault') THEN 'HIGH' ELSE 'LOW' END"
+)
+# Types and sources that the forest never saw encode as nothing, so SQL cannot state their level.
+_SEEN = "coalesce(indicator_type, 'missing') IN ('domain', 'url', 'ipv4', 'missing') AND source IN ('alienvault', 'virustotal')"
 
 
 @query(
     "ml_score",
-    "SELECT event_id, error, CASE WHEN error = '' THEN coalesce(value, 'N/A') END AS value,"
-    " CASE WHEN error = '' THEN true END AS has_level, CASE WHEN error = '' THEN true END AS sure_enough,"
-    " CASE WHEN error = '' THEN 5 END AS factors, CASE WHEN error = '' THEN 'RandomForestClassifier' END AS model_type,"
+    f"SELECT event_id, error, CASE WHEN error = '' THEN coalesce(value, 'N/A') END AS value, CASE WHEN error = '' AND {_SEEN} THEN {_LEVEL} END AS risk_level,"
+    " CASE WHEN error = '' THEN true END AS sure_enough, CASE WHEN error = '' THEN 5 END AS factors, CASE WHEN error = '' THEN 'RandomForestClassifier' END AS model_type,"
     f" CASE WHEN error = '' THEN '1.0' END AS version FROM (SELECT *, {feeds.REQUEST_ERROR} AS error FROM ({bridge.ansi(bridge.REQUESTS)}) AS r) AS c",
 )
 def ml_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,11 +210,14 @@ def ml_score(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "has_body", "indicator_type", "source", "value"
     )
     answers = learning.answer(requests, _model(spark, sf), F.col("has_body") == 1)
+    seen = F.coalesce("indicator_type", F.lit("missing")).isin("domain", "url", "ipv4", "missing") & F.col(
+        "source"
+    ).isin("alienvault", "virustotal")
     return answers.select(
         "event_id",
         "error",
         "value",
-        F.col("risk_level").isin("HIGH", "LOW").alias("has_level"),
+        F.when(seen, F.col("risk_level")).alias("risk_level"),
         # The chosen one of two classes has half of the votes at least.
         F.col("confidence").between(50, 100).alias("sure_enough"),
         F.when(F.col("top_factors").isNotNull(), F.size("top_factors")).alias("factors"),
@@ -212,42 +226,28 @@ def ml_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "ml_topfeat",
-    "SELECT unnest(range(1, least(5, (SELECT count(DISTINCT coalesce(indicator_type, 'missing')) + count(DISTINCT source)"
-    f" FROM ({LABELLED}) AS b)) + 1)) AS place, true AS in_range, true AS descending",
-)
+@query("ml_topfeat")
 def ml_topfeat(spark: SparkSession, sf: str) -> DataFrame:
-    """The most important features: five rows at most, whatever the table."""
-    top = learning.top_features(spark, _model(spark, sf))
-    order = Window.orderBy(F.col("importance").desc(), "feature")
-    above = F.coalesce(F.lag("importance").over(order), F.lit(1.0))
-    return top.select(
-        F.row_number().over(order).cast("bigint").alias("place"),
-        F.col("importance").between(0, 1).alias("in_range"),
-        (F.col("importance") <= above).alias("descending"),
-    )
+    """The five most important features; a forest's importances are not for SQL to state."""
+    return learning.top_features(spark, _model(spark, sf))
 
 
 @query(
     "snk_model",
-    f"SELECT indicator_type, source, count(*) AS rows, true AS same FROM (SELECT {_FEATURES} FROM ({LABELLED}) AS b) AS f"
-    " GROUP BY indicator_type, source",
+    f"SELECT indicator_type, source, prediction, count(*) AS rows FROM (SELECT {_FEATURES}, prediction FROM ({_KNOWN}) AS k) AS f"
+    " GROUP BY indicator_type, source, prediction",
 )
 def snk_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of a model that was saved and loaded again, beside those of the one saved."""
+    """What a model that was saved and loaded again predicts for every combination of features."""
     path = scratch_path(spark, "model")
-    model = _model(spark, sf)
-    learning.save(model, path)
-    rows = learning.impute(labelled(spark, sf).select("event_id", *fixed.MODEL_FEATURES))
+    learning.save(_model(spark, sf), path)
+    rows = learning.impute(learnable(spark, sf).select("event_id", *fixed.MODEL_FEATURES))
     counted = rows.groupBy(*fixed.MODEL_FEATURES).agg(F.count("*").alias("rows"))
-    given = [*fixed.MODEL_FEATURES, "rows"]
-    before = learning.predict(counted, model).select(*given, F.col("prediction").alias("before"))
-    both = learning.predict(before, learning.load(path))
-    return both.select(*fixed.MODEL_FEATURES, "rows", (F.col("before") == F.col("prediction")).alias("same"))
+    return learning.predict(counted, learning.load(path)).select(*fixed.MODEL_FEATURES, "prediction", "rows")
 
 
-@query("ml_trainjob", _REPORT)
+@query("ml_trainjob", _report_sql(_HELD_OUT))
 def ml_trainjob(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, split, training, the saved model, and its held-out evaluation."""
     path = scratch_path(spark, "model")
-    return _report(learning.train_job(labelled(spark, sf), "event_id", path))
+    return _rounded(learning.train_job(learnable(spark, sf), "event_id", path))

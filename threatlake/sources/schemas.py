@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, NullType, NumericType, StringType, StructType
 
 from threatlake.functions.fixed import INDICATOR_COLUMNS
 
@@ -55,3 +56,60 @@ def to_indicator_schema(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         value = F.col(name) if name in df.columns else F.lit(None)
         columns.append(value.cast(kind).alias(name))
     return df.select(*columns)
+
+
+# --- rows that do not fit -------------------------------------------------------------------------
+
+REFUSAL = "array<struct<column:string,reason:string>>"
+
+
+def _typed(value: Column, have: DataType, want: str) -> Column:
+    """The value in the table's type; null where it would not say the same there."""
+    none = F.lit(None).cast(want)
+    if want == "array<string>":
+        plain = isinstance(have, ArrayType) and not isinstance(have.elementType, (ArrayType, MapType, StructType))
+        return value.cast(want) if plain else none
+    if isinstance(have, (ArrayType, MapType, StructType, NullType)):
+        return none
+    if want == "string":
+        return value.cast(want)
+    cast = value.try_cast(want)
+    if isinstance(have, StringType) or (isinstance(have, NumericType) and want == "double"):
+        return cast
+    if isinstance(have, NumericType):
+        # A fraction, or a number out of range, does not come back the same.
+        exact = "decimal(38,10)"
+        return F.when(cast.cast(exact) == value.try_cast(exact), cast)
+    return none
+
+
+def checked(df: DataFrame, row_col: str | None = None) -> DataFrame:
+    """The table's 17 columns and ``refusal``: what does not fit of a row, empty if all does.
+
+    A column that the frame lacks is null.  A value of another type is cast where it says the same
+    afterwards; one that does not is null in the table's column and named in ``refusal``, and so is
+    every value in a column that the table does not have.  Names match whatever their case.  With
+    ``row_col`` the row as given comes too, as JSON under that name.
+    """
+    own = {field.name.lower(): field for field in df.schema}
+    columns, failures = [], []
+
+    def fail(name: str, condition: Column, reason: str) -> None:
+        failure = F.struct(F.lit(name).alias("column"), F.lit(reason).alias("reason"))
+        failures.append(F.when(condition, failure))
+
+    for name, kind in INDICATOR_COLUMNS:
+        field = own.pop(name, None)
+        if field is None:
+            columns.append(F.lit(None).cast(kind).alias(name))
+            continue
+        value = F.col(f"`{field.name}`")
+        typed = _typed(value, field.dataType, kind)
+        columns.append(typed.alias(name))
+        fail(name, value.isNotNull() & typed.isNull(), f"no {kind}")
+    for field in own.values():
+        fail(field.name, F.col(f"`{field.name}`").isNotNull(), "unknown column")
+    refusal = F.array_compact(F.array(*failures)) if failures else F.array()
+    if row_col:
+        columns.append(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(row_col))
+    return df.select(*columns, refusal.cast(REFUSAL).alias("refusal"))
