@@ -144,13 +144,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the table has fewer files than that.
+    """Rows dealt out to as many tasks as the setting ``threatlake.textPartitions`` says, if set.
 
-    Parsing text is bound by the processor, and a small table is one file with one row group, which
-    no setting splits.  The rows are the same either way.
+    Parsing text is bound by the processor, and a table that is one file with one row group is one
+    task, which no reader setting splits.  Whoever has such a table sets the number; all others read
+    their files as they are, without an exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    parts = df.sparkSession.conf.get("threatlake.textPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -218,14 +218,14 @@ def proximity(source: str) -> str:
         f" FROM ({entities(source, ['doc_id'])}) AS e"
     )
     return (
-        f"WITH nodes AS (SELECT * FROM ({nodes}) AS n)"
+        "WITH nodes AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, type_rank) AS seq"
+        f" FROM ({nodes}) AS n)"
         " SELECT s.doc_id, s.entity_type AS source_type, s.value AS source_value, s.start_pos AS source_start,"
         " t.entity_type AS target_type, t.value AS target_value, t.start_pos AS target_start,"
         f" {relation_type('s.entity_type', 't.entity_type')} AS relationship_type,"
         " CAST(round(1.0 - s.tokens / 10.0, 6) AS DOUBLE) AS confidence,"
         " concat('Proximity-based relationship (', s.tokens, ' tokens apart)') AS evidence, 0 AS kind"
-        " FROM nodes AS s JOIN nodes AS t ON s.doc_id = t.doc_id AND (s.start_pos < t.start_pos"
-        " OR (s.start_pos = t.start_pos AND s.type_rank < t.type_rank)) WHERE s.tokens <= 10"
+        " FROM (SELECT * FROM nodes WHERE tokens <= 10) AS s JOIN nodes AS t ON s.doc_id = t.doc_id AND s.seq < t.seq"
     )
 
 
