@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -91,7 +92,6 @@ def test_quality_order_is_rejections_per_cost():
 
 def test_pieces_of_odd_documents(docs):
     tokenizer = Tokenizer.from_file(BYTE)
-    tokenizer.encode_special_tokens = True
     found = packing.pack_documents(docs, BYTE, 0, 64, with_ids=True)
     expected = Counter()
     for d, t, *_ in ROWS:
@@ -135,9 +135,35 @@ def test_memo_equals_the_library(text):
         assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_strings_are_the_librarys(path):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b  c", "<|endoftext|", "x <|endoftext|>\n"]
+    plain = Tokenizer.from_file(path)
+    as_text = Tokenizer.from_file(path)
+    as_text.encode_special_tokens = True
+    escaping = tokenizing.TextEncoder(path, specials_as_text=True)
+    for text in texts:
+        for encoder, library in ((tokenizing.encoder(path), plain), (escaping, as_text)):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_working_columns_give_way(spark):
+    """Columns named like those that the operators work with come back as they were."""
+    taken = ["_id", "_fp", "_own", "_base", "_row", "_k_id"]
+    rows = spark.createDataFrame(samples.documents(), samples.DOCUMENTS).select("doc_id", "text", "lang")
+    docs = rows.select("*", *[F.lit(f"own {c}").alias(c) for c in taken])
+    for found in (
+        line_dedup.drop_shared_lines(docs, 10), line_dedup.drop_shared_lines(docs, 10, broadcast_bytes=0),
+        jaccard_join.keep_one(docs), quality_rules.score(docs), language_id.keep_identified(docs, min_score=0.0),
+    ):
+        assert set(docs.columns) <= set(found.columns)
+        kept = found.select(*[c for c in docs.columns if c.startswith("_")]).distinct().collect()
+        assert [tuple(r) for r in kept] == [tuple(f"own {c}" for c in docs.columns if c.startswith("_"))]
+
+
 def test_token_files_of_odd_documents(spark, docs):
     tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
     path = scratch_path(spark, "test-tokens")
     token_files.write(docs, path, WORD, 2)
     rows = token_files.read(spark, path, with_ids=True).orderBy("start").collect()
@@ -493,7 +519,6 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     expected = _plain_pipeline(rows, samples.ITEMS)
     assert {0, 1, 20, 40, 100, 101} <= set(expected) and not {2, 12, 21, 70, 71, 80, 82, 90} & set(expected)
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     cut = Counter()
     for d, text in expected.items():
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]

@@ -27,7 +27,6 @@ def texts(sf_dir):
 
 def encoded(sf_dir, name, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     rows = texts(sf_dir)
     found = tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False)
     return [(d, [*e.ids, end]) for (d, _), e in zip(rows, found, strict=True)]

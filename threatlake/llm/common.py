@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake.session import scratch_path
@@ -27,6 +29,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it a column that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps for its next tasks: one thing at a time.
+
+    Workers are used again by later stages, and what an earlier stage kept would stay in memory
+    beside what the next one needs.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case and no other letter; the plain function does that where all is ASCII."""
     plain = F.octet_length(text) == F.char_length(text)

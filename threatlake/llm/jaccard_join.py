@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatlake.functions.columns import let
-from threatlake.llm.common import written
+from threatlake.llm.common import free_name, kept, written
 
 COUNTERS = 1 << 22
 BROADCAST_CLASSES = 500_000
@@ -47,9 +47,6 @@ _PASS1 = (
 _POSTINGS = "token bigint, c1 bigint, c2 bigint, n int, pos int"
 _SETS = "c1 bigint, c2 bigint, shingles array<bigint>"
 
-_memo: dict[bytes, int] = {}
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A published 64-bit finalizer (fixed values)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,15 +55,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    out = []
+    out, memo = [], kept(("words",), dict)
     for word in words:
-        found = _memo.get(word)
+        found = memo.get(word)
         if found is None:
-            if len(_memo) >= MEMO_WORDS:
-                _memo.clear()
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
             found = xxhash.xxh3_64_intdigest(word)
             if len(word) <= 64:
-                _memo[word] = found
+                memo[word] = found
         out.append(found)
     return np.array(out, np.uint64)
 
@@ -402,17 +399,18 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     empty = found.where(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_k_id"), F.col("fp").alias("_k_fp"))
     fp = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text"))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_fp": fp})
+    own_id, own_fp = free_name(docs, "_id"), free_name(docs, "_fp")
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("bigint"), own_fp: fp})
 
     # Ids and hashes of the documents that stay: broadcast while they are few, else shuffled.
     few = found.count() <= BROADCAST_CLASSES
 
     def only(rows: DataFrame, which: DataFrame) -> DataFrame:
         which = F.broadcast(which) if few else which
-        same = rows["_id"].eqNullSafe(which["_k_id"]) & (rows["_fp"] == which["_k_fp"])
+        same = rows[own_id].eqNullSafe(which["_k_id"]) & (rows[own_fp] == which["_k_fp"])
         return rows.join(which, same, "left_semi")
 
     if linked.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        return only(keyed, chosen.unionAll(empty).distinct()).drop("_id", "_fp")
-    single = only(keyed, chosen).dropDuplicates(["_id", "_fp"])
-    return single.unionAll(only(keyed, empty.distinct())).drop("_id", "_fp")
+        return only(keyed, chosen.unionAll(empty).distinct()).drop(own_id, own_fp)
+    single = only(keyed, chosen).dropDuplicates([own_id, own_fp])
+    return single.unionAll(only(keyed, empty.distinct())).drop(own_id, own_fp)

@@ -170,14 +170,15 @@ def train(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, rid
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    """Whether a document is kept from training; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Train on the labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+        F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
     )
     counts = labelled.groupBy("lang").count().collect()
     if not counts:
@@ -211,7 +212,10 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str] | None = No
     return _predicted(docs, model, kept)
 
 
-def _predicted(docs: DataFrame, model: Model | None, kept: list[str], with_alike: bool = False) -> DataFrame:
+def _predicted(
+    docs: DataFrame, model: Model | None, kept: list[str], with_alike: bool = False, row_text: int | None = None
+) -> DataFrame:
+    """With ``row_text`` the only column is the whole row, and that is the place of its text."""
     schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType())
     if with_alike:
         schema = schema.add("alike", BooleanType())
@@ -221,7 +225,8 @@ def _predicted(docs: DataFrame, model: Model | None, kept: list[str], with_alike
         fitted = shared.value
         for batch in batches:
             names, scores, alike = [], [], []
-            texts = batch.column(batch.num_columns - 1)
+            # The text goes to the worker once: inside its row, or as the last column.
+            texts = batch.column(0).field(row_text) if row_text is not None else batch.column(batch.num_columns - 1)
             for start in range(0, batch.num_rows, _BATCH):
                 own = [ngrams(t) for t in texts.slice(start, _BATCH).to_pylist()]
                 if fitted is None:
@@ -235,11 +240,12 @@ def _predicted(docs: DataFrame, model: Model | None, kept: list[str], with_alike
                 names += [fitted.languages[b] if len(g) else UNKNOWN for b, g in zip(best, own, strict=True)]
                 scores += [float(s) if len(g) else 0.0 for s, g in zip(top, own, strict=True)]
                 alike += fitted.alike(own, best) if with_alike else []
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            given = batch.columns if row_text is not None else batch.columns[:-1]
+            columns = [*given, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             columns += [pa.array(alike, pa.bool_())] * with_alike
             yield pa.record_batch(columns, schema.names)
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if row_text else [F.col("text").alias("_text")])).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.25, languages: list[str] | None = None) -> DataFrame:
@@ -249,7 +255,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.25, languages: list[st
     and, if given, languages outside the list.
     """
     model = fit(docs)
-    found = _predicted(docs.withColumn("_row", F.struct(*docs.columns)), model, ["_row"], with_alike=True)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = _predicted(rows, model, ["_row"], with_alike=True, row_text=docs.columns.index("text"))
     keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & F.col("alike")
     if languages is not None:
         keep &= F.col("lang_pred").isin(languages)

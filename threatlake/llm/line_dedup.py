@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from threatlake.llm.common import written
+from threatlake.llm.common import free_name, written
 
 MAX_FILTER_BITS = 2**28
 BITS_PER_LINE = 16
@@ -153,16 +153,20 @@ def shared_lines(docs: DataFrame, min_docs: int, least: int = 1) -> tuple[DataFr
     return suspects, written(confirmed, "shared-lines")
 
 
-def _rewrite(schema: StructType, doomed: Callable, keep_first: bool) -> Callable:
-    """Drop lines of each text; ``doomed`` gives the keys to drop, and the place each first has."""
+def _rewrite(schema: StructType, doomed: Callable, keep_first: bool, helpers: tuple[str, str, str]) -> Callable:
+    """Drop lines of each text; ``doomed`` gives the keys to drop, and the place each first has.
+
+    ``helpers`` name the columns that are not given back: id, text hash and own list of keys.
+    """
     names = schema.names
+    own_id, own_fp, own_keys = helpers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = doomed()
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            me = list(zip(batch.column(names.index("_id")).to_pylist(), batch.column(names.index("_fp")).to_pylist(), strict=True))
-            own_lists = batch.column(names.index("_own")).to_pylist() if shared is None else None
+            me = list(zip(batch.column(names.index(own_id)).to_pylist(), batch.column(names.index(own_fp)).to_pylist(), strict=True))
+            own_lists = batch.column(names.index(own_keys)).to_pylist() if shared is None else None
             out, sizes, dropped = [], [], []
             for r, text in enumerate(texts):
                 drop = shared if own_lists is None else {o["key"]: (o["doc_id"], o["fp"], o["line"]) for o in own_lists[r] or []}
@@ -176,7 +180,7 @@ def _rewrite(schema: StructType, doomed: Callable, keep_first: bool) -> Callable
                 out.append(text)
                 sizes.append(len(keys))
                 dropped.append(n)
-            columns = {n: c for n, c in zip(names, batch.columns, strict=True) if n not in ("_id", "_fp", "_own")}
+            columns = {n: c for n, c in zip(names, batch.columns, strict=True) if n not in helpers}
             columns["text"] = pa.array(out, batch.schema.field("text").type)
             columns |= {"n_lines": pa.array(sizes, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
             yield pa.record_batch(list(columns.values()), list(columns))
@@ -196,20 +200,22 @@ def drop_shared_lines(
     docs = docs.drop("n_lines", "n_dropped")
     suspects, confirmed = shared_lines(docs, min_docs, least)
     size = confirmed.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
-    with_id = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_fp": F.xxhash64("text")})
+    helpers = tuple(free_name(docs, name) for name in ("_id", "_fp", "_own"))
+    own_id, own_fp, own_keys = helpers
+    with_id = docs.withColumns({own_id: F.col("doc_id").cast("bigint"), own_fp: F.xxhash64("text")})
     out = StructType([*docs.schema.fields])
     out = out.add("n_lines", LongType()).add("n_dropped", LongType())
     if size <= broadcast_bytes:
         rows = confirmed.select("key", "first.*").collect()
         shared = spark.sparkContext.broadcast({bytes(k): tuple(place) for k, *place in rows})
-        return with_id.mapInArrow(_rewrite(with_id.schema, lambda: shared.value, keep_first), out)
+        return with_id.mapInArrow(_rewrite(with_id.schema, lambda: shared.value, keep_first, helpers), out)
     lists = (
-        suspects.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "key")
+        suspects.select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp), "key")
         .distinct()
         .join(confirmed.select("key", "first"), "key")
-        .groupBy("_id", "_fp")
-        .agg(F.collect_list(F.struct("key", "first.*")).alias("_own"))
+        .groupBy(own_id, own_fp)
+        .agg(F.collect_list(F.struct("key", "first.*")).alias(own_keys))
     )
-    same = with_id["_id"].eqNullSafe(lists["_id"]) & (with_id["_fp"] == lists["_fp"])
-    joined = with_id.join(lists, same, "left").select(*[with_id[c] for c in with_id.columns], "_own")
-    return joined.mapInArrow(_rewrite(joined.schema, lambda: None, keep_first), out)
+    same = with_id[own_id].eqNullSafe(lists[own_id]) & (with_id[own_fp] == lists[own_fp])
+    joined = with_id.join(lists, same, "left").select(*[with_id[c] for c in with_id.columns], own_keys)
+    return joined.mapInArrow(_rewrite(joined.schema, lambda: None, keep_first, helpers), out)

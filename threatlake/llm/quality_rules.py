@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.functions.columns import let
-from threatlake.llm.common import SPACE_CLASS, split_words
+from threatlake.llm.common import SPACE_CLASS, free_name, split_words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -85,11 +85,12 @@ def base(docs: DataFrame) -> DataFrame:
         split_words(F.col("text"), SPACE_CLASS),
         lambda w: let(F.size(w), lambda n: let(if_lines, lambda rows: counts(w, n, rows))),
     )
-    with_counts = docs.withColumn("_base", counted)
+    base = free_name(docs, "_base")
+    with_counts = docs.withColumn(base, counted)
     fields = ("n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words")
     counted_rows = with_counts.withColumns(
-        {f: F.col("_base")[f] for f in fields} | {"n_symbols": _count_of(F.col("text"), SYMBOLS)}
-    ).drop("_base")
+        {f: F.col(base)[f] for f in fields} | {"n_symbols": _count_of(F.col("text"), SYMBOLS)}
+    ).drop(base)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted_rows.withColumn("base_failed", failed)
 

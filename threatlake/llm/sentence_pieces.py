@@ -32,6 +32,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from threatlake.llm.common import kept
+
 MARK = "▁"
 MEMO_SEGMENTS = 250_000
 _SHORT = 24
@@ -214,15 +216,9 @@ class Vocabulary:
         return self.library.decode(ids, num_threads=1)
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """One per file and worker process, so that segments are remembered over tasks."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    """The vocabulary of a file; a worker process keeps it, so that segments are remembered over tasks."""
+    return kept(("pieces", path), lambda: Vocabulary(path))
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

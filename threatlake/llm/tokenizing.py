@@ -4,8 +4,11 @@ For two families of tokenizers a text may be cut at single spaces and the pieces
 byte-level BPE that splits with its built-in pattern (a space starts a piece), and BPE over
 lower-cased words that drops white space.  Frequent pieces are then looked up.  A missing piece goes
 to the library: plain Latin pieces straight to its BPE model, all others through its whole chain.
-Texts with runs of white space, and other tokenizers, are encoded whole.  Strings of special tokens
-in a text are ordinary text.
+Texts with runs of white space, and other tokenizers, are encoded whole.
+
+The ids are those of the library's plain call on the file with ``add_special_tokens=False``: where a
+special token's string stands in a text, the text has its id, and is encoded whole.  With
+``specials_as_text`` such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from threatlake.llm.common import kept
+
 MEMO_PIECES = 600_000
 _LONG = 64
 
@@ -60,9 +65,11 @@ class _SpaceMatters(Exception):
 class TextEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, specials_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self._specials = [t.content for t in added if not (specials_as_text and t.special)]
         largest = max(self.tokenizer.get_vocab().values(), default=0)
         self._packed = [struct.pack("<I", i) for i in range(largest + 1)]
         self._pieces = _Memo(self._piece, memo_pieces)
@@ -117,7 +124,7 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._find is None:
+        if self._find is None or any(s in text for s in self._specials):
             return self._whole(text)
         first, *pieces = text.split(" ")
         if not first or first[-1].isspace():
@@ -128,11 +135,6 @@ class TextEncoder:
             return self._run(text)
 
 
-_encoders: dict[tuple, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
-    """One encoder per tokenizer file and worker process, so that the memo lasts over tasks."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    """The encoder of a tokenizer file; a worker process keeps it, so that the memo lasts over tasks."""
+    return kept(("encoder", path), lambda: TextEncoder(path))
