@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatlake.functions import fixed
-from threatlake.operators import asset, otx, routing, scc, vt
+from threatlake.operators import asset, correlation, otx, routing, scc, vt
 from threatlake.sources import messages, raw, schemas, tables
 
 PULSE = {
@@ -227,3 +227,21 @@ def test_refused_rows_are_kept_as_given(spark, tmp_path):
     assert [r.source for r in tables.load_indicators(spark, str(tmp_path / "table")).collect()] == ["a"]
     refused = spark.read.parquet(str(tmp_path / "refused")).collect()
     assert [(json.loads(r.given), r.batch_id) for r in refused] == [({"source": "b", "asn": "no"}, 3)]
+
+
+def test_findings_belong_to_the_nearest_asset(spark):
+    assets = [("//s/projects/p", "project"), ("//s/projects/p/items/i", "compute.googleapis.com/Instance"),
+              ("//s/projects/p/items/i", "z"), (None, "x"), ("//s/projects/p2/items/j", "other")]
+    findings = [
+        (1, "//s/projects/p/items/i/disks/d", "high", "PUBLIC_IP"), (2, "//s/projects/p/items/i", "CRITICAL", "OPEN_PORT"),
+        (3, "//s/projects/p/items/ii", "LOW", None), (4, "//s/projects/p2", "odd", "PUBLIC"), (5, None, None, None), (6, "", "LOW", "x"),
+    ]
+    findings += [(1000 + i, "//s/projects/p/items/i", "LOW", "x") for i in range(100)]
+    df = spark.createDataFrame(findings, "id int, resource_name string, severity string, category string")
+    rows = {r.id: r for r in correlation.correlate(df, spark.createDataFrame(assets, "name string, asset_type string"), "id").collect()}
+    assert len(rows) == len(findings)
+    assert [(rows[i].asset, rows[i].risk_score) for i in range(1, 7)] == [
+        ("//s/projects/p/items/i", 0.8), ("//s/projects/p/items/i", 1.0), ("//s/projects/p", 0.2), (None, 0.1), (None, 0.1), (None, 0.2),
+    ]
+    assert (rows[1].mitigation, rows[4].mitigation) == ("fix within a day", "review")
+    assert {rows[1000 + i].risk_score for i in range(100)} == {0.3}

@@ -91,6 +91,14 @@ SELECT p_partkey, CASE p_partkey%9 WHEN 0 THEN 'compute.googleapis.com/Instance'
 FROM {part}
 """
 
+# Assets that findings are about: some of the items, and the projects of two services.
+INVENTORY = """
+SELECT concat('//', CASE c_custkey%4 WHEN 0 THEN 'compute.googleapis.com' WHEN 1 THEN 'storage.googleapis.com' WHEN 2 THEN 'container.googleapis.com' ELSE 'cloudsql.googleapis.com' END, '/projects/p', c_custkey%50, '/items/r', c_custkey) AS name,
+ CASE c_custkey%4 WHEN 0 THEN 'compute.googleapis.com/Instance' WHEN 1 THEN 'storage.googleapis.com/Bucket' ELSE 'other/Item' END AS asset_type
+FROM {customer} WHERE c_custkey%3=0
+UNION ALL SELECT DISTINCT concat('//', CASE WHEN c_custkey%2=0 THEN 'compute.googleapis.com' ELSE 'storage.googleapis.com' END, '/projects/p', c_custkey%50) AS name, 'project' AS asset_type FROM {customer}
+"""
+
 CONFIGS = """
 SELECT c_custkey AS cfg_id, CASE WHEN c_custkey%2=0 THEN concat('//storage.googleapis.com/projects/p', c_nationkey, '/buckets/b', c_custkey) ELSE concat('//compute.googleapis.com/projects/p', c_nationkey, '/zones/z/instances/v', c_custkey) END AS resource_name,
  CASE c_custkey%6 WHEN 0 THEN 'roles/storage.objectViewer' WHEN 2 THEN 'roles/storage.legacyObjectReader' ELSE 'roles/storage.admin' END AS role,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from threatlake.operators import asset, otx, routing, scc, vt
+from threatlake.operators import asset, correlation, otx, routing, scc, vt
 from threatlake.plans import bridge
 from threatlake.plans.registry import query
 from threatlake.sources import messages, raw, schemas, tables
@@ -894,3 +894,30 @@ def snk_retain(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", F.to_date("o_orderdate").alias("ingest_date")
     )
     return tables.retained(rows, F.lit("1997-12-31").cast("date"))
+
+
+# --- findings and assets ----------------------------------------------------------------------------
+
+_INVENTORY = bridge.ansi(bridge.INVENTORY)
+_NEAREST = (
+    "SELECT f.*, coalesce(i.name, p.name) AS asset, CASE WHEN i.name IS NOT NULL THEN i.asset_type ELSE p.asset_type END AS asset_type"
+    f" FROM ({SCC_SQL}) AS f LEFT JOIN ({_INVENTORY}) AS i ON f.resource_name = i.name"
+    f" LEFT JOIN ({_INVENTORY}) AS p ON regexp_replace(f.resource_name, '/items/.*$', '') = p.name"
+)
+_TENTHS = (
+    "CASE upper(severity) WHEN 'CRITICAL' THEN 8 WHEN 'HIGH' THEN 6 WHEN 'MEDIUM' THEN 4 WHEN 'LOW' THEN 2 ELSE 1 END"
+    " + CASE WHEN asset_type IN ('compute.googleapis.com/Instance', 'storage.googleapis.com/Bucket', 'sqladmin.googleapis.com/Instance') THEN 1 ELSE 0 END"
+    " + CASE WHEN asset_type IS NOT NULL AND regexp_matches(upper(category), 'PUBLIC|OPEN|EXPOSED') THEN 1 ELSE 0 END"
+)
+
+
+@query(
+    "cor_risk",
+    f"SELECT o_orderkey, asset, asset_type, CAST(least({_TENTHS}, 10) / 10.0 AS DOUBLE) AS risk_score, CASE upper(severity) WHEN 'CRITICAL' THEN 'isolate now'"
+    f" WHEN 'HIGH' THEN 'fix within a day' WHEN 'MEDIUM' THEN 'fix within a week' WHEN 'LOW' THEN 'plan a fix' ELSE 'review' END AS mitigation FROM ({_NEAREST}) AS n",
+)
+def cor_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finding with the nearest asset, its risk and what to do."""
+    given = bridge.view(spark, sf, bridge.SCC).select("o_orderkey", "resource_name", "severity", "category")
+    found = correlation.correlate(given, bridge.view(spark, sf, bridge.INVENTORY), "o_orderkey")
+    return found.select("o_orderkey", "asset", "asset_type", "risk_score", "mitigation")
