@@ -108,6 +108,20 @@ def test_pieces_of_odd_documents(docs):
     assert all(len(x) <= 4 * 64 for x in whole.values())
 
 
+def test_pieces_of_one_huge_document_share_no_group(spark, monkeypatch):
+    """100,000 whole pieces of one document stay out of the groups, which have the rest."""
+    monkeypatch.setattr(packing, "PIECES_PER_GROUP", 50)
+    cut = spark.range(100_200).select(
+        F.lit(7).cast("bigint").alias("doc_id"), F.col("id").cast("int").alias("piece"), (F.col("id") * 64).alias("start"),
+        F.when(F.col("id") < 100_000, 64).otherwise(F.col("id") % 60 + 1).cast("bigint").alias("length"), F.col("id").alias("ids_crc32"),
+    )
+    packed = packing.pack(cut, 64)
+    whole = packed.where("length = 64")
+    assert whole.where("sequence_id >= 0 OR offset <> 0").isEmpty() and whole.select("sequence_id").distinct().count() == 100_000
+    rest = packed.where("length < 64").collect()
+    assert len(rest) == 200 and len({r.sequence_id >> 40 for r in rest}) == 4 and min(r.sequence_id for r in rest) >= 0
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80))
 def test_best_fit_takes_the_tightest_bin(lengths):

@@ -6,7 +6,7 @@ other pieces (one per document at most) are dealt by a hash into groups of about
 ``PIECES_PER_GROUP``, and each group is packed by best-fit decreasing: a segment tree over the
 remaining capacities gives the tightest open bin in logarithmic time.  A group is large enough
 that its last open bins are a tiny share, and small enough for one task; their number follows the
-corpus.  The fullest possible packing of a group does not depend on its neighbours, so a lost
+count of such pieces.  The fullest possible packing of a group does not depend on its neighbours, so a lost
 executor repeats its groups alone.
 
 Null texts are empty documents that hold only the end id.  Repeated rows are packed each.  An
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threatlake.llm import tokenizing
+from threatlake.llm.common import written
 
 PIECES_PER_GROUP = 16_384
 
@@ -107,10 +108,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     return texts.mapInArrow(cut, _PIECES + (", ids binary" if with_ids else ""))
 
 
-def pack(cut: DataFrame, documents: int, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to pieces; any other columns stay."""
-    groups = max(1, round(documents / PIECES_PER_GROUP))
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+def pack(cut: DataFrame, capacity: int) -> DataFrame:
+    """Add sequence_id and offset to pieces; any other columns stay.
+
+    The pieces are written first.  Whole sequences need no place beside others and go through as
+    they are, under numbers below 0; the number of groups is counted from the rest.
+    """
+    stored = written(cut, "pieces")
+    number = F.lit(-1).cast("bigint") - F.monotonically_increasing_id()
+    whole = stored.where(F.col("length") == capacity)
+    whole = whole.withColumns({"sequence_id": number, "offset": F.lit(0).cast("bigint")})
+    parts = stored.where(F.col("length") < capacity)
+    groups = max(1, round(parts.count() / PIECES_PER_GROUP))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     out = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +129,7 @@ def pack(cut: DataFrame, documents: int, capacity: int) -> DataFrame:
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="_group").assign(sequence_id=bins + (int(key[0]) << 40), offset=offsets)
 
-    return dealt.groupBy("_group").applyInPandas(place, out)
+    return dealt.groupBy("_group").applyInPandas(place, out).unionByName(whole)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -133,4 +143,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, tokenizer, end_id, capacity, with_ids), docs.count(), capacity)
+    return pack(pieces(docs, tokenizer, end_id, capacity, with_ids), capacity)
