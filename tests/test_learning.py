@@ -83,3 +83,15 @@ def test_train_job(spark, tmp_path):
     assert set(report) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
     assert report["accuracy"].support == 400 - sum(n * 80 // 100 for n in (134, 266))
     assert learning.train_job(table(spark).limit(0), "id", str(tmp_path / "m")) is None
+
+
+def test_importances_name_what_decides(spark):
+    """The class follows from one type alone, so that type is most important and sources say nothing."""
+    rows = table(spark, 600).withColumn(
+        learning.LABEL, F.coalesce((F.col("indicator_type") == "ipv4").cast("int"), F.lit(0))
+    )
+    top = learning.top_features(spark, learning.train(rows)).collect()
+    assert top[0].feature == "cat__indicator_type_ipv4" and top[0].importance > 0.4
+    assert [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
+    assert sum(r.importance for r in top) <= 1 + 1e-9
+    assert sum(r.importance for r in top if "source" in r.feature) < 0.1

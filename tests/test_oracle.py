@@ -21,4 +21,6 @@ def test_query_equals_sql(spark, sf_dir, connection, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # A forest's importances are not for SQL to state; test_learning has what must hold of them.
+    assert set(QUERIES) - set(ORACLES) == {"ml_topfeat"}
+    assert set(ORACLES) <= set(QUERIES)
