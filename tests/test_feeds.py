@@ -245,3 +245,13 @@ def test_findings_belong_to_the_nearest_asset(spark):
     ]
     assert (rows[1].mitigation, rows[4].mitigation) == ("fix within a day", "review")
     assert {rows[1000 + i].risk_score for i in range(100)} == {0.3}
+
+
+def test_checked_rows_wait_on_disk_without_their_json(spark, tmp_path, monkeypatch):
+    kept, persist = [], type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *level: kept.append((df, level)) or persist(df, *level))
+    df = spark.createDataFrame([("a", "1"), ("b", "no")], "source string, asn string")
+    tables.append_checked(df, str(tmp_path / "table"), str(tmp_path / "refused"), 0)
+    ((checked, (level,)),) = kept
+    assert not level.useMemory and level.useDisk
+    assert {r.source: r.given is None for r in checked.collect()} == {"a": True, "b": False}
