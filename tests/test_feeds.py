@@ -255,3 +255,13 @@ def test_checked_rows_wait_on_disk_without_their_json(spark, tmp_path, monkeypat
     ((checked, (level,)),) = kept
     assert not level.useMemory and level.useDisk
     assert {r.source: r.given is None for r in checked.collect()} == {"a": True, "b": False}
+
+
+def test_raw_documents_are_written_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([('{"pulses": []}',), ("x",)], "content string").withColumn("feed", F.lit("scc"))
+    tables.write_raw(rows, str(tmp_path / "raw"))
+    tables.write_feed(rows.drop("feed"), str(tmp_path / "raw"), "scc")
+    files = [p.name for p in (tmp_path / "raw" / "feed=scc").glob("part-*")]
+    assert files and all(name.endswith(".txt.gz") for name in files)
+    back = raw.read_raw(spark, str(tmp_path / "raw"), whole_files=False)
+    assert sorted(r.content for r in back.collect()) == ["x", "x", '{"pulses": []}', '{"pulses": []}']
