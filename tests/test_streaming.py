@@ -46,6 +46,20 @@ def test_what_is_left_out_is_kept_with_a_reason(spark, tmp_path):
     }
 
 
+def test_batches_are_bounded_by_bytes_and_the_archive_is_compressed(spark, tmp_path):
+    base = str(tmp_path)
+    finding = '{"findings": [{"name": "organizations/1/sources/1/findings/%s", "category": "x", "resourceName": "r"}]}'
+    for i in range(3):
+        tables.write_feed(spark.createDataFrame([(finding % i,)], "content string").coalesce(1), f"{base}/raw", "scc")
+    ingest.ingest(
+        spark, f"{base}/raw", f"{base}/table", f"{base}/archive", f"{base}/checkpoint", whole_files=False, max_bytes=1
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{base}/table").collect()
+    assert len(rows) == 3 and len({r.batch_id for r in rows}) == 3
+    files = [p.name for p in (tmp_path / "archive").rglob("part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
+
+
 def test_the_registered_ingest_keeps_what_it_leaves_out(spark, sf_dir):
     *_, quarantine_path = landing._ingested(spark, sf_dir)
     kept = spark.read.parquet(quarantine_path)
