@@ -265,3 +265,14 @@ def test_raw_documents_are_written_compressed(spark, tmp_path):
     assert files and all(name.endswith(".txt.gz") for name in files)
     back = raw.read_raw(spark, str(tmp_path / "raw"), whole_files=False)
     assert sorted(r.content for r in back.collect()) == ["x", "x", '{"pulses": []}', '{"pulses": []}']
+
+
+def test_findings_of_one_key_have_their_own_assets(spark):
+    findings = spark.createDataFrame(
+        [(None, "//s/projects/a"), (None, "//s/projects/b"), (1, "//s/projects/a"), (1, None)], "id int, resource_name string"
+    )
+    assets = spark.createDataFrame([("//s/projects/a", "x"), ("//s/projects/b", "y")], "name string, asset_type string")
+    rows = correlation.with_asset(findings, assets, "id").collect()
+    assert sorted((r.id or 0, r.resource_name or "", r.asset or "") for r in rows) == [
+        (0, "//s/projects/a", "//s/projects/a"), (0, "//s/projects/b", "//s/projects/b"), (1, "", ""), (1, "//s/projects/a", "//s/projects/a"),
+    ]
