@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threatlake.functions import fixed
 from threatlake.operators import clean, documents, entities, relations, severity
+from threatlake.plans import text as text_plans
 
 
 def frame(spark, texts):
@@ -354,3 +355,8 @@ def test_patterns_equal_the_published_ones(spark):
     for row in found.collect():
         for name, pattern in published.items():
             assert list(row[name]) == [m[0] for m in re.finditer(pattern, row["text"])], (name, row["text"])
+
+
+def test_a_table_of_one_row_group_is_dealt_out(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    assert text_plans.texts(spark, sf_dir).rdd.getNumPartitions() >= 4 * cores
