@@ -19,6 +19,7 @@ from threatlake.llm import (
     chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules,
     sharding, token_files, tokenizing, warc,
 )
+from threatlake.llm.common import SLICE_ROWS, sliced
 from threatlake.session import scratch_path
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -149,6 +150,34 @@ def test_memo_equals_the_library(text):
         assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aBz'sTé ÿß÷×0\n.,$_\"\x1c\xa0µ", max_size=40))
+def test_plain_texts_equal_the_library(text):
+    for path in (BYTE, WORD):
+        encoder = tokenizing.encoder(path)
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_memo_has_a_word_once():
+    """Cases, punctuation and lines around a word of a plain text take no entries of their own."""
+    encoder = tokenizing.TextEncoder(WORD)
+    encoder.encode("Word word, WORD. word\nword (word) é,\nÉ wörd; Wörd")
+    assert len(encoder._pieces) == 0
+    assert set(encoder._tokens) == {"word", "é", "wörd", ",", ".", "(", ")", ";"}
+
+
+def test_batches_are_worked_on_in_slices():
+    """A worker holds a few hundred texts as Python objects, however long a batch is."""
+    n = 1000
+    texts = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(["a\nb"] * n)], ["doc_id", "fp", "text"])
+    filled = type("Shared", (), {"value": np.full(1 << 13, 255, np.uint8)})
+    found = list(line_dedup._suspects(filled, 1)(iter([texts])))
+    assert sum(b.num_rows for b in found) == 2 * n
+    assert max(b.num_rows for b in found) <= 2 * SLICE_ROWS < 2 * n
+    assert [b.num_rows for b in sliced([texts])] == [256, 256, 256, 232]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_special_strings_are_the_librarys(path):
     texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b  c", "<|endoftext|", "x <|endoftext|>\n"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake.session import scratch_path
@@ -37,6 +38,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+SLICE_ROWS = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, as a worker need not hold ten thousand long texts as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 _kept: dict[tuple, object] = {}
 
 

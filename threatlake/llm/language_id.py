@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+from threatlake.llm.common import sliced
+
 SPECTRUM = 3
 PER_LANGUAGE = 400
 TRAINING_ROWS = 80_000
@@ -223,7 +225,7 @@ def _predicted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 4 * _BATCH):
             names, scores, alike = [], [], []
             # The text goes to the worker once: inside its row, or as the last column.
             texts = batch.column(0).field(row_text) if row_text is not None else batch.column(batch.num_columns - 1)

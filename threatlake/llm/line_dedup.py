@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from threatlake.llm.common import free_name, written
+from threatlake.llm.common import free_name, sliced, written
 
 MAX_FILTER_BITS = 2**28
 BITS_PER_LINE = 16
@@ -60,7 +60,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 def _marks(bits: int, least: int) -> Callable:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [np.zeros(0, np.uint64)]
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.append(_hashes([k for k in set(line_keys(text)) if _long_enough(k, least)]))
         hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
@@ -117,7 +117,7 @@ def _suspected(keys: list[bytes], twice: np.ndarray) -> list[bytes]:
 
 def _suspects(shared, least: int) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, prints, found, lines = [], [], [], []
             columns = (c.to_pylist() for c in batch.columns)
             for doc_id, fp, text in zip(*columns, strict=True):
@@ -163,7 +163,7 @@ def _rewrite(schema: StructType, doomed: Callable, keep_first: bool, helpers: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = doomed()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(names.index("text")).to_pylist()
             me = list(zip(batch.column(names.index(own_id)).to_pylist(), batch.column(names.index(own_fp)).to_pylist(), strict=True))
             own_lists = batch.column(names.index(own_keys)).to_pylist() if shared is None else None

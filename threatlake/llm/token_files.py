@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from threatlake.llm import tokenizing
+from threatlake.llm.common import sliced
 from threatlake.session import scratch_path
 
 STEP = 256
@@ -68,22 +69,14 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, stored: str = "<u4")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_encoder = tokenizing.encoder(tokenizer)
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            kept, sizes, crcs = [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = text_encoder.encode(text) + end
-                ids = np.frombuffer(raw, "<u4")
-                own = np.bincount(ids, minlength=len(total)) if len(ids) > 20_000 else None
-                if own is None:
-                    if ids.max() >= len(total):
-                        total = np.append(total, np.zeros(int(ids.max()) + 1 - len(total), np.int64))
-                    np.add.at(total, ids, 1)
-                else:
-                    own[: len(total)] += total
-                    total = own
-                sizes.append(len(ids))
-                crcs.append(zlib.crc32(raw))
-                kept.append(ids.astype(stored).tobytes() if stored != "<u4" else raw)
+        for batch in sliced(batches):
+            raws = [text_encoder.encode(text) + end for text in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(raw, "<u4") for raw in raws]
+            sizes, crcs = [len(own) for own in ids], [zlib.crc32(raw) for raw in raws]
+            seen = np.bincount(np.concatenate(ids), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            kept = [own.astype(stored).tobytes() for own in ids] if stored != "<u4" else raws
             none = [None] * len(kept)
             yield _table(_IDS, [batch.column(0), sizes, crcs, kept, none, none])
         used = np.flatnonzero(total)
@@ -206,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, max_bits: int
             row = [part, block, sum(sizes), [d for d, _ in held], sizes, checkpoints, bits]
             return _table(_BLOCKS, [[x] for x in row])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
                 own = np.frombuffer(value.as_buffer(), stored)
                 held.append((doc_id, own))

@@ -2,9 +2,11 @@
 
 For two families of tokenizers a text may be cut at single spaces and the pieces encoded one by one:
 byte-level BPE that splits with its built-in pattern (a space starts a piece), and BPE over
-lower-cased words that drops white space.  Frequent pieces are then looked up.  A missing piece goes
-to the library: plain Latin pieces straight to its BPE model, all others through its whole chain.
-Texts with runs of white space, and other tokenizers, are encoded whole.
+lower-cased words that drops white space (that one is cut at newlines too, which are dropped as well;
+plain Latin texts are cut into its words at once).  Frequent pieces are then looked up.  A missing piece
+goes to the library: plain Latin pieces straight to its BPE model, all others through its whole chain; a
+word before punctuation is looked up by itself.  Texts with runs of white space that matter, and other
+tokenizers, are encoded whole.
 
 The ids are those of the library's plain call on the file with ``add_special_tokens=False``: where a
 special token's string stands in a text, the text has its id, and is encoded whole.  With
@@ -14,6 +16,7 @@ special token's string stands in a text, the text has its id, and is encoded who
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Callable
 
@@ -24,6 +27,7 @@ from tokenizers import Tokenizer
 from threatlake.llm.common import kept
 
 MEMO_PIECES = 600_000
+MEMO_TOKENS = 100_000
 _LONG = 64
 
 # Fixed value: the public pattern that byte-level BPE splits text with.
@@ -32,6 +36,11 @@ _BYTE_PATTERN = (
 )
 # Letters whose normal form and lower case are the same for every library.
 _PLAIN = regex.compile("[\n\x20-\x7eÀ-ÿ]*")
+# Fixed value: the pattern that the BPE over words splits with, and the same for lower-case plain text.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9 ]+").findall
+# What either pattern takes as one match of its own after letters; an apostrophe may start a contraction.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -73,10 +82,12 @@ class TextEncoder:
         largest = max(self.tokenizer.get_vocab().values(), default=0)
         self._packed = [struct.pack("<I", i) for i in range(largest + 1)]
         self._pieces = _Memo(self._piece, memo_pieces)
-        self._tokens = _Memo(self._token, memo_pieces)
+        self._tokenize = self.tokenizer.model.tokenize
         self._symbols = _byte_symbols()
         self._space = self._symbols[0x20]
         self._find, self._spaced, self._lower = self._family()
+        self._words = _PLAIN_WORDS if self._lower and self._find.__self__.pattern == _WORD_PATTERN else None
+        self._tokens = _Memo(self._token, memo_pieces if self._words else min(memo_pieces, MEMO_TOKENS))
 
     def _family(self):
         """Pattern, whether a space belongs to the piece after it, whether to lower-case."""
@@ -99,9 +110,11 @@ class TextEncoder:
 
     def _bpe(self, symbols: str) -> bytes:
         packed = self._packed
-        return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(symbols)])
+        return b"".join([packed[t.id] for t in self._tokenize(symbols)])
 
     def _token(self, token: str) -> bytes:
+        if token.isascii() and token.isalpha():
+            return self._bpe(token)  # its bytes are their own symbols
         return self._bpe("".join(map(self._symbols.__getitem__, token.encode())))
 
     def _run(self, text: str) -> bytes:
@@ -114,10 +127,15 @@ class TextEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """What follows a space, up to the next."""
-        if piece.isascii() and piece.isalpha():
-            # One match of either pattern, and its bytes are their own symbols.
-            return self._bpe(self._space + piece if self._spaced else piece.lower())
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        word = piece.rstrip(_PUNCTUATION)
+        if word.isalpha() and _PLAIN.fullmatch(word):
+            if len(word) < len(piece):
+                return self._pieces[word] + self._tokens[piece[len(word) :]]
+            # One match of either pattern.
+            if word.isascii() and self._spaced:
+                return self._bpe(self._space + word)
+            return self._token(" " + word if self._spaced else word.lower())
+        if self._spaced and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise _SpaceMatters
         return self._run(" " + piece if self._spaced else piece)
 
@@ -126,6 +144,11 @@ class TextEncoder:
             return b""
         if self._find is None or any(s in text for s in self._specials):
             return self._whole(text)
+        if self._words and _PLAIN.fullmatch(text):
+            return b"".join(map(self._tokens.__getitem__, self._words(text.lower())))
+        if self._lower:
+            # White space only parts the pieces.
+            return b"".join(map(self._pieces.__getitem__, text.replace("\n", " ").split(" ")))
         first, *pieces = text.split(" ")
         if not first or first[-1].isspace():
             return self._run(text)
