@@ -167,6 +167,22 @@ def test_memo_has_a_word_once():
     assert set(encoder._tokens) == {"word", "é", "wörd", ",", ".", "(", ")", ";"}
 
 
+def test_easy_plain_texts_need_no_pattern(monkeypatch):
+    """Marks that stand alone are parted by spaces; other texts take the pattern."""
+
+    def pattern(text):
+        raise AssertionError(text)
+
+    library = Tokenizer.from_file(WORD)
+    monkeypatch.setattr(tokenizing, "_PLAIN_WORDS", pattern)
+    for text in ["The end. É, ß×ÿ\n12 of a.1", "3.14-a. B", "", " \n", ".", "a.1.b", "7"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert tokenizing.TextEncoder(WORD).encode(text) == np.array(ids, "<u4").tobytes()
+    for text in ["it's", "a..b", "(a)."]:
+        with pytest.raises(AssertionError, match="^" + re.escape(text)):
+            tokenizing.TextEncoder(WORD).encode(text)
+
+
 def test_batches_are_worked_on_in_slices():
     """A worker holds a few hundred texts as Python objects, however long a batch is."""
     n = 1000
