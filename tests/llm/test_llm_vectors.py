@@ -164,6 +164,14 @@ def test_difference_from_the_library_is_an_error():
         own.encode(["that the other"])
 
 
+def test_words_are_remembered():
+    """A worker's share of invented words is more than a quarter of a million."""
+    own = sentence_pieces.Vocabulary(PIECES)
+    own._words = dict.fromkeys(range(500_000), b"")
+    own.encode(["the other"])
+    assert len(own._words) > 500_000
+
+
 def test_documents_to_pieces_and_back(spark):
     docs = spark.createDataFrame(samples.documents(), samples.DOCUMENTS).withColumnRenamed("pos", "ids").withColumnRenamed("token", "decoded")
     got = sentence_pieces.encode_documents(docs, PIECES)

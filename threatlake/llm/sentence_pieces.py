@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from threatlake.llm.common import kept
 
 MARK = "▁"
-MEMO_SEGMENTS = 250_000
+MEMO_SEGMENTS = 600_000
 _SHORT = 24
 _LONG = 48
 _NEVER = 1 << 30
