@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from llm import samples
 from threatlake.llm import (
-    chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules,
+    chat_format, common, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules,
     sharding, token_files, tokenizing, warc,
 )
 from threatlake.llm.common import SLICE_ROWS, sliced
@@ -183,6 +183,22 @@ def test_easy_plain_texts_need_no_pattern(monkeypatch):
             tokenizing.TextEncoder(WORD).encode(text)
 
 
+def test_join_works_on_batches_in_slices():
+    """A worker holds the sets of some hundred texts, and keeps no memo of words for later stages."""
+    n = 3000
+    texts = [f"w{i} x{i} y{i} z{i}" for i in range(n)]
+    one = pa.record_batch([pa.array(texts)], ["text"])
+    three = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts)], ["doc_id", "fp", "text"])
+    common._kept.clear()
+    sets = list(jaccard_join._sets(3)(iter([one])))
+    first = [b for b in jaccard_join._first_pass(3)(iter([three])) if b.column("block").null_count]
+    shared = type("Shared", (), {"value": np.ones(jaccard_join.COUNTERS, np.uint32)})
+    postings = list(jaccard_join._prefixes(shared, 3, 90)(iter([one])))
+    assert sum(b.num_rows for b in sets) == sum(b.num_rows for b in first) == sum(b.num_rows for b in postings) == n
+    assert max(b.num_rows for b in sets + first + postings) <= 4 * SLICE_ROWS < n
+    assert not common._kept
+
+
 def test_batches_are_worked_on_in_slices():
     """A worker holds a few hundred texts as Python objects, however long a batch is."""
     n = 1000

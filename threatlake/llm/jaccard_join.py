@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatlake.functions.columns import let
-from threatlake.llm.common import free_name, kept, written
+from threatlake.llm.common import SLICE_ROWS, free_name, sliced, written
 
 COUNTERS = 1 << 22
 BROADCAST_CLASSES = 500_000
-MEMO_WORDS = 400_000
 HUB_LABEL_ROUNDS = 3
 
 _BLOCK = 1 << 16
+_HELD = 1 << 18
 _RANGES = 64
 _SALTS = 16
 _PASS1 = (
@@ -55,17 +55,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    out, memo = [], kept(("words",), dict)
-    for word in words:
-        found = memo.get(word)
-        if found is None:
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-            found = xxhash.xxh3_64_intdigest(word)
-            if len(word) <= 64:
-                memo[word] = found
-        out.append(found)
-    return np.array(out, np.uint64)
+    """One hash per word; a memo of them took more time than it saved, and memory beside the heap."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -100,7 +91,7 @@ def _first_pass(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, waiting, held = np.zeros(COUNTERS, np.uint32), set(), [], 0
-        for batch in batches:
+        for batch in sliced(batches, 4 * SLICE_ROWS):
             sizes, classes, ranges = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, size)
@@ -111,14 +102,14 @@ def _first_pass(size: int):
                     seen.add(classes[-1])
                     waiting.append(_slot(own))
                     held += len(own)
-                if held >= COUNTERS:
-                    counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+                if held >= _HELD:
+                    np.add.at(counts, np.concatenate(waiting), np.uint32(1))
                     waiting, held = [], 0
             n, none = len(sizes), [None] * len(sizes)
             c1, c2 = zip(*classes, strict=True) if n else ((), ())
             yield rows([batch.column(0), batch.column(1), sizes, list(c1), list(c2), ranges, none, none])
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(counts, np.concatenate(waiting), np.uint32(1))
         blocks = [b for b in range(COUNTERS // _BLOCK) if counts[b * _BLOCK : (b + 1) * _BLOCK].any()]
         if blocks:
             none = [None] * len(blocks)
@@ -144,7 +135,7 @@ def _prefixes(shared, size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        for batch in batches:
+        for batch in sliced(batches, 4 * SLICE_ROWS):
             columns: list[list] = [[] for _ in names]
             for text in batch.column(0).to_pylist():
                 own = shingle_set(text, size)
@@ -170,7 +161,7 @@ def _prefixes(shared, size: int, percent: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4 * SLICE_ROWS):
             own = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
             classes = [_class_of(s) for s in own]
             yield pa.record_batch(
