@@ -340,6 +340,28 @@ def test_components_of_odd_documents(docs, size, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == wanted
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unlike_members_of_a_shingle_give_no_pairs(spark, percent):
+    """Texts of like size, each with a near copy, all under one shingle: only the copies meet."""
+    texts = []
+    for i, n in enumerate([12] * 5 + [200] * 20 + [3_000] * 6 + [40_000]):
+        own = [f"w{i}x{k}" for k in range(n)]
+        # Without its last word a set lacks one shingle.
+        texts += [" ".join(own), " ".join(own[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    first = keyed.mapInArrow(jaccard_join._first_pass(3), jaccard_join._PASS1).where("block is null")
+    classes = first.select(F.struct("c1", "c2").alias("cls"), "n", "ranges", "sketch")
+    postings = classes.select(F.lit(7).cast("bigint").alias("token"), "cls", "n", F.lit(0).alias("pos"))
+    labels = classes.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
+    sketched = jaccard_join._sketched(labels, classes, percent)
+    found = jaccard_join._cross_pairs(jaccard_join._labelled(postings, sketched), percent).collect()
+    of = [jaccard_join._class_of(jaccard_join.shingle_set(t, 3)) for t in texts]
+    pairs = {frozenset([tuple(r.a), tuple(r.b)]) for r in found}
+    # Ten shingles and nine of them are nine tenths alike.
+    assert pairs == {frozenset(of[i : i + 2]) for i in range(0, len(of), 2)}
+
+
 @pytest.mark.parametrize("few", [jaccard_join.BROADCAST_CLASSES, -1])
 def test_one_of_each_group_stays(docs, monkeypatch, few):
     monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", few)

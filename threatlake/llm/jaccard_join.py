@@ -9,7 +9,10 @@ Texts with equal shingle sets form a class; only classes are joined, so copies a
    sets must share one.  Prefix shingles that a single class has are dropped.
 3. Candidates share a prefix shingle and pass the length filter (sizes), the positional filter (what
    can still follow the shared shingle) and the suffix filter (the sets' sizes per hash range bound
-   their overlap).  Each pair is verified once, on the whole sets.
+   their overlap).  Each pair is verified once, on the whole sets.  Where all members of a shingle meet,
+   a sketch of 512 bits per class is compared inside the join already: every shingle flips one bit, so
+   two sets differ in at least as many shingles as their sketches differ in bits.  Sets too large for
+   that many bits take their sizes per hash range along as well.
 
 A shingle that many classes have would give a pair for every two of them.  So its members are first
 compared with the least and the greatest member of like size, and linked members get a common
@@ -39,10 +42,14 @@ HUB_LABEL_ROUNDS = 3
 
 _BLOCK = 1 << 16
 _HELD = 1 << 18
-_RANGES = 64
+_RANGES = 256
+_MOST_IN_RANGE = 127
+_SKETCH_WORDS = 8
+_SKETCH_FULL = 200  # different bits; unlike sketches differ in about 256
 _SALTS = 16
 _PASS1 = (
-    "doc_id bigint, fp bigint, n int, c1 bigint, c2 bigint, ranges array<int>, block int, counts binary"
+    "doc_id bigint, fp bigint, n int, c1 bigint, c2 bigint, ranges array<tinyint>,"
+    " sketch array<bigint>, block int, counts binary"
 )
 _POSTINGS = "token bigint, c1 bigint, c2 bigint, n int, pos int"
 _SETS = "c1 bigint, c2 bigint, shingles array<bigint>"
@@ -82,9 +89,18 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 512 classes of hashes holds an odd number of the shingles, as bits of words."""
+    bits = np.bincount(((shingles >> np.uint64(32)) % np.uint64(64 * _SKETCH_WORDS)).astype(np.int64), minlength=64 * _SKETCH_WORDS)
+    return np.packbits(bits & 1).view(np.int64)
+
+
 def _first_pass(size: int):
     names = [c.split()[0] for c in _PASS1.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    kinds = [
+        pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.int64()),
+        pa.int32(), pa.binary(),
+    ]
 
     def rows(columns: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -92,12 +108,15 @@ def _first_pass(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, waiting, held = np.zeros(COUNTERS, np.uint32), set(), [], 0
         for batch in sliced(batches, 4 * SLICE_ROWS):
-            sizes, classes, ranges = [], [], []
+            sizes, classes, ranges, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, size)
                 sizes.append(len(own))
                 classes.append(_class_of(own) if len(own) else (None, None))
-                ranges.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=_RANGES).astype(np.int32))
+                held_by = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=_RANGES)
+                # Cut sizes differ by no more than whole ones.
+                ranges.append(np.minimum(held_by, _MOST_IN_RANGE).astype(np.int8))
+                sketches.append(sketch(own))
                 if len(own) and classes[-1] not in seen:
                     seen.add(classes[-1])
                     waiting.append(_slot(own))
@@ -107,14 +126,14 @@ def _first_pass(size: int):
                     waiting, held = [], 0
             n, none = len(sizes), [None] * len(sizes)
             c1, c2 = zip(*classes, strict=True) if n else ((), ())
-            yield rows([batch.column(0), batch.column(1), sizes, list(c1), list(c2), ranges, none, none])
+            yield rows([batch.column(0), batch.column(1), sizes, list(c1), list(c2), ranges, sketches, none, none])
         if waiting:
             np.add.at(counts, np.concatenate(waiting), np.uint32(1))
         blocks = [b for b in range(COUNTERS // _BLOCK) if counts[b * _BLOCK : (b + 1) * _BLOCK].any()]
         if blocks:
             none = [None] * len(blocks)
             parts = [counts[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in blocks]
-            yield rows([none] * 6 + [blocks, parts])
+            yield rows([none] * 7 + [blocks, parts])
 
     return run
 
@@ -219,16 +238,36 @@ def _may_overlap(percent: int, shared_at_a: Column, shared_at_b: Column) -> Colu
     return (100 * small >= percent * large) & enough
 
 
+def _sketches_near(percent: int) -> Column:
+    """Sizes a_n, b_n allow as many differing shingles as the sketches, and ranges if any, show at the least."""
+    words = [F.bit_count(F.get("a_sketch", F.lit(i)).bitwiseXOR(F.get("b_sketch", F.lit(i)))) for i in range(_SKETCH_WORDS)]
+    return _room(sum(words[1:], words[0]), percent) & F.coalesce(_room(_apart("a_large", "b_large"), percent), F.lit(True))
+
+
+def _apart(a: str, b: str) -> Column:
+    """By how much the sizes per hash range differ, all together."""
+    each = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(each, F.lit(0), lambda total, x: total + x)
+
+
+def _room(differing: Column, percent: int) -> Column:
+    """|a xor b| is at least ``differing``, and at most (100 - percent) / (100 + percent) of both sizes."""
+    return (100 + percent) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+
+
+def _sketched(labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Labels with sketches; ranges too where a set may differ from its like in most bits of a sketch."""
+    large = (100 - percent) * 2 * F.col("n") > (100 + percent) * _SKETCH_FULL
+    own = classes.select(F.col("cls").alias("node"), "sketch", F.when(large, F.col("ranges")).alias("large"))
+    return labels.join(own, "node")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The suffix filter: pairs whose sizes per hash range leave room for the overlap."""
     light = classes.select("cls", "ranges")
     a_light = light.select(F.col("cls").alias("a"), F.col("ranges").alias("a_r"))
     b_light = light.select(F.col("cls").alias("b"), F.col("ranges").alias("b_r"))
-    differing = F.aggregate(
-        F.zip_with("a_r", "b_r", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x
-    )
-    # |a xor b| is at least ``differing``, and at most (100 - percent) / (100 + percent) of both sizes.
-    possible = (100 + percent) * differing <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    possible = _room(_apart("a_r", "b_r"), percent)
     return pairs.join(a_light, "a").join(b_light, "b").where(possible).drop("a_r", "b_r")
 
 
@@ -280,11 +319,11 @@ def _cross_pairs(postings: DataFrame, percent: int) -> DataFrame:
         .select("token")
     )
     left = postings.join(mixed, "token", "left_semi")
-    a = left.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "label")])
-    b = left.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "label")])
+    a = left.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "label", "sketch", "large")])
+    b = left.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "label", "sketch", "large")])
     fits = _may_overlap(percent, F.col("a_pos"), F.col("b_pos"))
     apart = (F.col("a_label") != F.col("b_label")) & (F.col("a_cls") < F.col("b_cls"))
-    joined = a.join(b, (a["token"] == b["token"]) & apart & fits)
+    joined = a.join(b, (a["token"] == b["token"]) & apart & fits & _sketches_near(percent))
     return joined.select(F.col("a_cls").alias("a"), "a_n", F.col("b_cls").alias("b"), "b_n").distinct()
 
 
@@ -299,7 +338,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("bigint"), fp.alias("fp"), "text")
     first = written(keyed.mapInArrow(_first_pass(size), _PASS1), "classes")
     cls = F.struct("c1", "c2")
-    documents = first.where(F.col("block").isNull()).select("doc_id", "fp", "n", cls.alias("cls"), "ranges")
+    documents = first.where(F.col("block").isNull()).select("doc_id", "fp", "n", cls.alias("cls"), "ranges", "sketch")
     parts = first.where(F.col("block").isNotNull()).select("block", "counts")
     counts = np.zeros(COUNTERS, np.uint32)  # bounded: one number per counter
     for block, values in parts.repartition("block").mapInArrow(_add_blocks, "block int, counts binary").collect():
@@ -322,7 +361,9 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "fp")).alias("chosen"),
             F.count("*").alias("members"),
+            F.min("n").alias("n"),
             F.min("ranges").alias("ranges"),
+            F.min("sketch").alias("sketch"),
         )
     )
     active = written(classes.join(postings.select("cls").distinct(), "cls", "left_semi"), "active")
@@ -347,7 +388,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     hub_pairs = written(_possible(_hub_pairs(postings, percent), active, percent), "pairs")
     hub_links = links_of(hub_pairs)
     labels = connected(hub_links, labels, HUB_LABEL_ROUNDS)
-    rest = _cross_pairs(_labelled(postings, labels), percent)
+    rest = _cross_pairs(_labelled(postings, _sketched(labels, active, percent)), percent)
     rest = rest.join(hub_pairs.select("a", "b"), ["a", "b"], "left_anti")
     rest_pairs = written(_possible(rest, active, percent), "pairs")
     labels = connected(hub_links.unionAll(links_of(rest_pairs)), labels)
