@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threatlake.functions import fixed
 from threatlake.operators import clean, documents, entities, relations, severity
+from threatlake.plans import landing
 from threatlake.plans import text as text_plans
 
 
@@ -293,6 +294,16 @@ def test_lines_of_a_report_follow_each_other(spark, tmp_path):
     assert order == sorted(order) and len({d for d, *_ in order}) == 12
 
 
+def test_registered_reports_are_compressed(spark, sf_dir, monkeypatch, tmp_path):
+    """They are read back from compressed lines."""
+    monkeypatch.setattr(landing, "scratch_path", lambda _, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(text_plans, "texts", lambda spark, _: frame(spark, samples.ADVISORIES).withColumn("doc_id", F.hash("doc_id").cast("bigint")))
+    rows = landing.snk_json(spark, sf_dir).collect()
+    assert len(rows) == len(samples.ADVISORIES)
+    names = [p.name for p in (tmp_path / "reports").rglob("part-*")]
+    assert names and all(name.endswith(".json.gz") for name in names)
+
+
 def test_text_jobs_do_not_shuffle(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df in (
