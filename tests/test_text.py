@@ -151,6 +151,20 @@ def test_relationships_equal_restatement(spark, monkeypatch, pairs_per_task):
         assert merged == _rounded(samples.merged(near + stated)), key
 
 
+def test_phrases_are_first_looked_for_as_plain_words(spark):
+    text = (
+        "a.bad.net RESIDES ON 5.6.7.8 and Exploitation of x1 by y1; p's campaign using q, p campaign using q"
+        " connections from a to b Connection between c and d \u212a.net was\thosted on e was Hosted On\u2003f"
+    )
+    found = frame(spark, [text]).select(relations.phrase_matches(F.col("text")).alias("m"))
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(m.pattern_rank, m.src, m.tgt) for m in found.first().m]
+    assert got == [
+        (3, "a", "b"), (3, "c", "d"), (8, "e", "f"), (10, "a.bad.net", "5.6.7.8"), (13, "y1;", "x1"),
+        (16, "q,", "p's"), (16, "q", "p"),
+    ]
+
+
 def test_merging_twice_changes_nothing(spark):
     df = documents.analyze(frame(spark, {"d": dense_text(60)}))
     once = relations.relationships(df, ["doc_id"])
