@@ -151,6 +151,32 @@ def test_relationships_equal_restatement(spark, monkeypatch, pairs_per_task):
         assert merged == _rounded(samples.merged(near + stated)), key
 
 
+def test_small_documents_are_merged_in_their_row(spark, monkeypatch):
+    """Only documents of many pairs, or whose id comes again or is null, go through a shuffle."""
+    whole = dict(enumerate(dense_text(40, i) for i in range(4)))
+    rows = [("a", whole[0]), ("b", whole[1]), ("b", whole[2]), (None, whole[3]), (None, whole[0]), ("c", "5.6.7.8")]
+    df = documents.analyze(spark.createDataFrame(rows, "doc_id string, text string"))
+    dealt_out, by_parts = [], relations._edges_by_parts
+
+    def spy(prepared, *rest):
+        dealt_out.append(sorted(str(r.doc_id) for r in prepared.select("doc_id").collect()))
+        return by_parts(prepared, *rest)
+
+    def edges(limit):
+        monkeypatch.setattr(relations, "_PAIRS_IN_ROW", limit)
+        found = relations.relationships(df, ["doc_id"]).collect()
+        return sorted((str(r.doc_id), r.source, r.target, r.relationship_type, r.confidence, r.evidence) for r in found)
+
+    monkeypatch.setattr(relations, "_edges_by_parts", spy)
+    some = edges(10_000)
+    assert dealt_out == [["None", "None", "b", "b"]]
+    monkeypatch.setattr(relations, "_REPEATED_IDS", 0)
+    assert edges(10_000) == some == edges(0)
+    assert dealt_out[-1] == ["None", "None", "a", "b", "b", "c"]
+    keys = [(d, s.value, t.value, kind) for d, s, t, kind, *_ in some]
+    assert len(keys) == len(set(keys)) > 60
+
+
 def test_phrases_are_first_looked_for_as_plain_words(spark):
     text = (
         "a.bad.net RESIDES ON 5.6.7.8 and Exploitation of x1 by y1; p's campaign using q, p campaign using q"
