@@ -2,6 +2,7 @@
 
 import base64
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,31 @@ def test_what_is_left_out_is_kept_with_a_reason(spark, tmp_path):
     }
 
 
+def test_a_batch_is_parsed_once(spark, tmp_path):
+    """What is left out comes from one reading; a text with something behind it keeps its records."""
+    (tmp_path / "raw" / "scc").mkdir(parents=True)
+    (tmp_path / "raw" / "nvd").mkdir()
+    texts = {"cut": '{"findings": [', "odd": '{"findings": [7, null, {"name": "a"}]}', "more": '{"findings": [{"name": "b"}, 8]} x', "good": '{"findings": [{"name": "c"}]}'}
+    for name, text in texts.items():
+        (tmp_path / "raw" / "scc" / f"{name}.json").write_text(text)
+    (tmp_path / "raw" / "nvd" / "n.json").write_text("{}")
+    files = raw.read_raw(spark, f"{tmp_path}/raw")
+    left_out = raw.rejected(files)
+    assert left_out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = sorted((r.object_name, r.reason, str(r.content)) for r in left_out.collect())
+    assert got == sorted([
+        ("raw/scc/cut.json", "not JSON", texts["cut"]), ("raw/scc/more.json", "not JSON", texts["more"]),
+        ("raw/scc/more.json", "bad record", "8"), ("raw/scc/odd.json", "bad record", "7"),
+        ("raw/scc/odd.json", "bad record", "None"), ("raw/nvd/n.json", "unknown source", "{}"),
+    ])
+    assert {(r.reason, r.content) for r in raw.quarantine(files).collect()} == {
+        ("not JSON", texts["cut"]), ("not JSON", texts["more"]), ("unknown source", "{}"),
+    }
+    kept = sorted(json.loads(r.record)["name"] for r in raw.records_of(raw.parsed(files)).collect())
+    assert kept == sorted(json.loads(r.record)["name"] for r in raw.records(files).collect())
+    assert {"a", "c"} <= set(kept)
+
+
 def test_batches_are_bounded_by_bytes_and_the_archive_is_compressed(spark, tmp_path):
     base = str(tmp_path)
     finding = '{"findings": [{"name": "organizations/1/sources/1/findings/%s", "category": "x", "resourceName": "r"}]}'
