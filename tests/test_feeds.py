@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threatlake.functions import fixed
 from threatlake.operators import asset, correlation, otx, routing, scc, vt
+from threatlake.plans import landing
 from threatlake.sources import messages, raw, schemas, tables
 
 PULSE = {
@@ -229,6 +230,28 @@ def test_refused_rows_are_kept_as_given(spark, tmp_path):
     assert [(json.loads(r.given), r.batch_id) for r in refused] == [({"source": "b", "asn": "no"}, 3)]
 
 
+def test_rows_as_given_are_written_out_only_where_refused(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "no")], "source string, asn string")
+    every = schemas.checked(df, row_col="given").orderBy("source").collect()
+    some = schemas.checked(df, row_col="given", refused_only=True).orderBy("source").collect()
+    assert [r.given is None for r in every] == [False, False]
+    assert [r.given for r in some] == [None, every[1].given]
+
+
+def test_a_batch_that_comes_twice_is_made_once(spark, sf_dir, monkeypatch):
+    """Its second run reads what was made for the first."""
+    append, scans = tables.append_checked, []
+
+    def spy(rows, path, refused_path, batch_id):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        scans.append((batch_id, "l_orderkey" in plan))
+        append(rows, path, refused_path, batch_id)
+
+    monkeypatch.setattr(landing.tables, "append_checked", spy)
+    landing.snk_table(spark, sf_dir)
+    assert scans == [(0, False), (1, False), (1, False)]
+
+
 def test_findings_belong_to_the_nearest_asset(spark):
     assets = [("//s/projects/p", "project"), ("//s/projects/p/items/i", "compute.googleapis.com/Instance"),
               ("//s/projects/p/items/i", "z"), (None, "x"), ("//s/projects/p2/items/j", "other")]
